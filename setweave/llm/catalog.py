@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from setweave.llm.common import LOWER, UPPER
+from setweave.llm.common import LOWER, UPPER, scratch
 from setweave.llm.exact_dedup import exact_dedup
 from setweave.llm.mixing import mixture
+from setweave.llm.quality import judged
+from setweave.llm.simhash import near_classes
+from setweave.llm.token_files import encode_to_files, read_tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,6 +25,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    encode_to_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir))
+
+
 @query
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
