@@ -44,7 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"), whole.alias("bin"), head.alias("head")
     )
     first = save(
-        rows.join(shared, "head", "left").select("rid", "id", "carried", "gid", F.sha2("bin", 256).alias("sha"), F.when(F.col("gid").isNotNull(), F.col("bin")).alias("bin")),
+        # A merge join at any size: a broadcast would be cheaper only while few heads are shared.
+        rows.join(shared.hint("merge"), "head", "left").select("rid", "id", "carried", "gid", F.sha2("bin", 256).alias("sha"), F.when(F.col("gid").isNotNull(), F.col("bin")).alias("bin")),
         "radix-rows",
     )
     remove(docs.sparkSession, shared)
