@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setweave.llm.class_lm import scored
 from setweave.llm.common import LOWER, UPPER, scratch
 from setweave.llm.exact_dedup import exact_dedup
 from setweave.llm.mixing import mixture
+from setweave.llm.piece_sampling import decoded, segmentations
 from setweave.llm.quality import judged
+from setweave.llm.secret_scan import scanned
 from setweave.llm.simhash import near_classes
+from setweave.llm.substring_dedup import without_repeated_passages
+from setweave.llm.suffix_dedup import without_repeated_strings
 from setweave.llm.token_files import encode_to_files, read_tokens
 
 QUERIES, ORACLES = {}, {}
@@ -32,11 +37,33 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decoded(segmentations(documents(spark, sf_dir), model), model)
+    return rows.select(F.col("id").alias("doc_id"), "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op3_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _removed(cut: DataFrame, n: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])
+    return cut.select(F.col("id").alias("doc_id"), F.col("n").alias(n), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(without_repeated_strings(documents(spark, sf_dir)), "n_bytes")
+
+
+@query
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir))
+
+
 @query
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir))
@@ -47,11 +74,21 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(documents(spark, sf_dir))
+
+
 @query
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query
+def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(without_repeated_passages(documents(spark, sf_dir)), "n_words").drop("n_spans")
+
+
 ORACLES["op9_radix_dedup"] = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

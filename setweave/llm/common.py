@@ -91,7 +91,7 @@ def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return kept.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, F.col("__start") + row).drop("__at", "__p", "__start")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each has about ``limit`` bytes of text; a longer text stands alone."""
     for b in batches:
         n = b.num_rows

@@ -12,7 +12,7 @@ adaptive execution can split, so no task has to hold a group.
 
 Defined results: a null text counts as empty, empty texts equal each other; only A-Z are lower-cased; null
 ids sort below all others; of rows with the same text and id, one (any of these equal rows) stays; an
-empty table gives an empty result. Other columns are ignored or, if named in ``carry``, kept.
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +22,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.llm.common import ascii_lower, remove, save
+from setweave.llm.common import ascii_lower, maybe_broadcast, remove, save
 
 FIRST, GROWTH = 64, 8
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and the carried columns.
-
-    Of equal texts the row with the largest id stays. Carried columns come in one struct, ``carried``.
-    """
+def _split(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """All rows (rid, id, carried, sha), and of those with a fellow (rid, keep, n), where ``keep`` is (id, rid) of the row that stays."""
     text = F.col(text_col)
     whole = ascii_lower(text).cast("binary")
     head = F.substring(ascii_lower(F.substring(text, 1, FIRST)).cast("binary"), 1, FIRST)
@@ -73,7 +70,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         at, width = at + width, width * GROWTH
     members = reduce(DataFrame.unionByName, done)
-    out = first.select("rid", "id", "carried", "sha").join(members, "rid", "left")
+    return first.select("rid", "id", "carried", "sha"), members
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``. Of equal texts the row with the largest id stays."""
+    rows, members = _split(docs, id_col, text_col, ())
+    out = rows.join(members, "rid", "left")
     alone = F.col("n").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -81,10 +84,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("rid") == F.col("keep.rid"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        *(["carried"] if carry else []),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the rows whose text another, kept row has."""
-    return exact_dedup(docs, id_col, text_col, tuple(docs.columns)).filter("kept").select("carried.*")
+    """The documents, with all their columns, without the rows whose text another, kept row has."""
+    rows, members = _split(docs, id_col, text_col, tuple(docs.columns))
+    dropped = members.filter("rid != keep.rid").select("rid")
+    return rows.join(maybe_broadcast(dropped, 2_000_000), "rid", "left_anti").select("carried.*")

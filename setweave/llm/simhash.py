@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setweave.llm.common import pieces, save, texts
+from setweave.llm.common import maybe_broadcast, pieces, save, texts
 from setweave.llm.components import components
 
 HOT = 20_000
@@ -308,4 +308,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     grouped = found.join(keys, found.node == keys.rid).select("root", "rid", "id").union(found.select(F.col("root").alias("r")).distinct().join(keys, F.col("r") == keys.rid).select("r", "rid", "id"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("first"))
     dropped = grouped.join(first, "root").filter("rid != first.rid").select("rid")
-    return rows.join(dropped, "rid", "left_anti").select("doc.*")
+    return rows.join(maybe_broadcast(save(dropped, "near-dropped"), 2_000_000), "rid", "left_anti").select("doc.*")

@@ -35,6 +35,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _GRAPH = np.zeros(256, bool)
 _GRAPH[33:127] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[[*range(65, 91), *range(97, 123)]] = True
+_MARK = _GRAPH & ~_ALPHA
+_MARK[[39, *range(48, 58)]] = False
 _LEAD2 = np.zeros(256, bool)
 _LEAD2[0xC3:0xE0] = True
 
@@ -42,9 +46,9 @@ _LEAD2[0xC3:0xE0] = True
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, each different piece of text once.
 
-    Such a tokenizer parts text where white space begins and never joins across; so what is between two such places is
-    encoded alike alone and in its text. A place counts only if the character before is surely no white space. Frequent
-    pieces are remembered, at most ``CACHE`` of them.
+    Such a tokenizer parts text where white space begins, between letters and punctuation, and after a line break, and never joins
+    across; so what is between two such places is encoded alike alone and in its text. A place counts only if both characters are surely of these
+    kinds (no apostrophe, which may begin a contraction). Frequent pieces are remembered, at most ``CACHE`` of them.
     """
 
     def __init__(self, path: str):
@@ -61,6 +65,7 @@ class PieceEncoder:
         if len(raw) > 1:
             begins[1:-1] = _SPACE[raw[1:]] & _GRAPH[raw[:-1]]
             begins[2:-1] |= _SPACE[raw[2:]] & (raw[1:-1] >= 0x80) & _LEAD2[raw[:-2]]
+            begins[1:-1] |= (_ALPHA[raw[:-1]] & _MARK[raw[1:]]) | (_MARK[raw[:-1]] & _ALPHA[raw[1:]]) | ((raw[:-1] == 10) & _GRAPH[raw[1:]])
         begins[at] = True
         cuts = np.flatnonzero(begins).astype(np.int32)
         if len(cuts) < 2:
@@ -197,7 +202,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return docs.selectExpr(f"`{id_col}` AS id", f"cast(`{text_col}` AS string) AS text").mapInArrow(run, schema)
 
 
-def _unpacked(b: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _unpacked(b: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch of ``tokenized`` rows, with their ids in one array and the number of each row."""
     sizes = b.column("n").to_numpy()
     upto, begin = np.cumsum(sizes), 0
