@@ -86,11 +86,20 @@ class Vocabulary:
         return pa.array(self.processor.normalize(text.to_pylist()), pa.string())
 
 
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """This process's vocabulary of a model file."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 class Lattices:
     """The lattices of several units, side by side: edges sorted by the node they leave."""
 
-    def __init__(self, vocabulary: Vocabulary, units: pa.Array):
-        v = vocabulary
+    def __init__(self, v: Vocabulary, units: pa.Array):
         _, offsets, data = units.buffers()
         at = np.frombuffer(offsets, np.int32, len(units) + 1).astype(np.int64)
         raw = np.frombuffer(data, np.uint8, at[-1]) if at[-1] else np.zeros(0, np.uint8)
@@ -318,12 +327,8 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
 
 def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, seed: int = 42) -> DataFrame:
     """(id, sample, n_pieces, log_prob, log_inclusion, ids): the sampled segmentations of each text; ids as little-endian unsigned 32-bit integers."""
-    held: dict[str, Vocabulary] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in held:
-            held[model] = Vocabulary(model)
-        v = held[model]
+        v = vocabulary(model)
         for b in pieces(batches, "text", 2 << 20):
             text = pa.concat_arrays([v.normalized(texts(b.column("text")))])
             n = len(text)
@@ -368,12 +373,8 @@ def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``text``: what their ids spell, without the space that encoding puts in front."""
-    held: dict[str, Vocabulary] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in held:
-            held[model] = Vocabulary(model)
-        v = held[model]
+        v = vocabulary(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
