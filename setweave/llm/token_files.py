@@ -17,7 +17,9 @@ ordered by length and content; a very long document has a block to itself; an em
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +29,26 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from setweave.llm.common import pieces, remove, save, texts
+from setweave.llm.repeats import mix, prefix_hashes, run_hashes
 
 BLOCK, STRIDE = 1 << 16, 128
-CACHE = 200_000
+CACHE = 2_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_GRAPH = np.zeros(256, bool)
-_GRAPH[33:127] = True
-_ALPHA = np.zeros(256, bool)
-_ALPHA[[*range(65, 91), *range(97, 123)]] = True
-_MARK = _GRAPH & ~_ALPHA
-_MARK[[39, *range(48, 58)]] = False
-_LEAD2 = np.zeros(256, bool)
-_LEAD2[0xC3:0xE0] = True
+_SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+#: Kinds of bytes: other, white space, line break, ASCII letter, punctuation, digit or apostrophe, end of a two-byte letter.
+_OTHER, _SPACE, _BREAK, _LETTER, _MARK, _DIGIT, _WIDE = range(7)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[9, 11, 12, 13, 32]], _KIND[10] = _SPACE, _BREAK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[39, *range(48, 58)]] = _DIGIT
+_LEADS = np.zeros(256, bool)
+_LEADS[0xC3:0xE0] = True
+#: Pairs of kinds between which a text may be cut.
+_CUT = np.zeros(64, bool)
+for _before, _after in [(k, s) for k in (_LETTER, _MARK, _DIGIT, _WIDE) for s in (_SPACE, _BREAK)] + [(_LETTER, _MARK), (_MARK, _LETTER)] + [(_BREAK, k) for k in (_LETTER, _MARK, _DIGIT)]:
+    _CUT[8 * _before + _after] = True
 
 
 class PieceEncoder:
@@ -48,44 +56,69 @@ class PieceEncoder:
 
     Such a tokenizer parts text where white space begins, between letters and punctuation, and after a line break, and never joins
     across; so what is between two such places is encoded alike alone and in its text. A place counts only if both characters are surely of these
-    kinds (no apostrophe, which may begin a contraction). Frequent pieces are remembered, at most ``CACHE`` of them.
+    kinds (no apostrophe, which may begin a contraction). The ids of at most ``CACHE`` pieces are remembered, by 64-bit hashes.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.hashes, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _remember(self, h: np.ndarray, pieces_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode new pieces; where each one's ids are, in the array returned."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces_.to_pylist(), add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))))
+        at = len(self.flat) + np.cumsum(size) - size
+        if len(self.hashes) < CACHE:
+            order = np.argsort(h)
+            place = np.searchsorted(self.hashes, h[order])
+            self.hashes, self.at, self.size = (np.insert(x, place, y[order]) for x, y in ((self.hashes, h), (self.at, at), (self.size, size)))
+            self.flat = flat
+        return at, size, flat
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one after another, and how many each text has."""
         n = len(text)
         _, offsets, data = text.buffers()
-        at = np.frombuffer(offsets, np.int32, n + 1)
-        raw = np.frombuffer(data, np.uint8, at[-1]) if data is not None and at[-1] else np.zeros(0, np.uint8)
+        ends = np.frombuffer(offsets, np.int32, n + 1)
+        raw = np.frombuffer(data, np.uint8, ends[-1]) if data is not None and ends[-1] else np.zeros(0, np.uint8)
         begins = np.zeros(len(raw) + 1, bool)
         if len(raw) > 1:
-            begins[1:-1] = _SPACE[raw[1:]] & _GRAPH[raw[:-1]]
-            begins[2:-1] |= _SPACE[raw[2:]] & (raw[1:-1] >= 0x80) & _LEAD2[raw[:-2]]
-            begins[1:-1] |= (_ALPHA[raw[:-1]] & _MARK[raw[1:]]) | (_MARK[raw[:-1]] & _ALPHA[raw[1:]]) | ((raw[:-1] == 10) & _GRAPH[raw[1:]])
-        begins[at] = True
+            kind = _KIND[raw]
+            kind[1:][_LEADS[raw[:-1]]] = _WIDE
+            begins[1:-1] = _CUT[kind[:-1] * 8 + kind[1:]]
+        begins[ends] = True
         cuts = np.flatnonzero(begins).astype(np.int32)
         if len(cuts) < 2:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
-        values = parts.dictionary.to_pylist()
-        known = self.known
-        missing = [v for v in values if v not in known]
-        fresh = {v: np.array(e.ids, np.uint32) for v, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        ids = [known[v] if v in known else fresh[v] for v in values]
-        if len(known) < CACHE:
-            known.update(fresh)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate(ids), np.cumsum(size) - size
+        values = pa.concat_arrays([parts.dictionary])
+        _, offsets, own = values.buffers()
+        start = np.frombuffer(offsets, np.int32, len(values) + 1).astype(np.int64)
+        h = run_hashes(prefix_hashes(_SYMBOL[np.frombuffer(own, np.uint8, start[-1])]), start[:-1], np.diff(start))
+        place = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == h if len(self.hashes) else np.zeros(len(h), bool)
+        at, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        flat, new = self.flat, np.flatnonzero(~known)
+        if len(new):
+            at[new], size[new], flat = self._remember(h[new], values.take(pa.array(new)))
         code = parts.indices.to_numpy(zero_copy_only=False)
         each = size[code]
         upto = np.cumsum(each)
-        out = flat[np.repeat(first[code] - (upto - each), each) + np.arange(upto[-1])]
-        before = np.concatenate(([0], upto))[np.searchsorted(cuts, at)]
-        return out, np.diff(before)
+        out = flat[np.repeat(at[code] - (upto - each), each) + np.arange(upto[-1])]
+        return out, np.diff(np.concatenate(([0], upto))[np.searchsorted(cuts, ends)])
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """This process's encoder for a tokenizer file; what it remembers outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 def code_lengths(counts: np.ndarray, max_length: int) -> np.ndarray:
@@ -185,12 +218,11 @@ class Code:
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """(id, n, ids): each document's ids as little-endian unsigned integers of 16 or, for large vocabularies, 32 bits."""
     wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16
-    held: dict[str, PieceEncoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held.setdefault(tokenizer, PieceEncoder(tokenizer))
+        encode = encoder(tokenizer)
         kind = "<u4" if wide else "<u2"
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 4 << 20):
             ids, sizes = encode(texts(b.column("text")))
             if end_id is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
