@@ -10,7 +10,7 @@ from setweave.llm.class_lm import scored
 from setweave.llm.common import LOWER, UPPER, scratch
 from setweave.llm.exact_dedup import exact_dedup
 from setweave.llm.mixing import mixture
-from setweave.llm.piece_sampling import decoded, segmentations
+from setweave.llm.piece_sampling import segmentations
 from setweave.llm.quality import judged
 from setweave.llm.secret_scan import scanned
 from setweave.llm.simhash import near_classes
@@ -40,7 +40,7 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decoded(segmentations(documents(spark, sf_dir), model), model)
+    rows = segmentations(documents(spark, sf_dir), model, decode=True)
     return rows.select(F.col("id").alias("doc_id"), "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

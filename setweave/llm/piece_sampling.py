@@ -10,7 +10,7 @@ each path's inclusion log probability, log(1 - exp(-exp(log p - kappa))).
 
 Pieces never cross the place where a space follows another character, so the lattice of a text is a chain of small ones; those
 of the different units of a batch are built once, all at the same time, and paths are drawn for all texts of a batch in
-step. Places to leave a path count as long as the path's beginning has log probability above -45; what lies beyond has, in double
+step. Places to leave a path count as long as the path's beginning has log probability above -37; what lies beyond has, in double
 precision, no mass.
 
 A unigram model's scores are its log weights. A model of merges has ranks instead of weights: piece number r weighs
@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setweave.llm.common import pieces, texts
-from setweave.llm.repeats import U, mix, prefix_hashes, run_hashes
+from setweave.llm.repeats import U, mix, powers, prefix_hashes, run_hashes
 
 SPACE = "▁"
 LONG = 256
-FAINT = -45.0
+REMEMBERED = 150_000
+FAINT = -37.0
 _SYMBOL = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
@@ -69,6 +70,12 @@ class Vocabulary:
         h = run_hashes(prefix, np.cumsum(size) - size, size)
         order = np.argsort(h)
         self.hashes, self.ids, self.weights = h[order], np.array([i for i, _ in plain])[order], weight[order]
+        # By a hash's upper bits: the one entry with them, -1 if there is none, -2 if there are several.
+        slot = (self.hashes >> U(44)).astype(np.int64)
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2
+        self.begins = self._beginnings(raw)
         self.longest = max(len(piece) for _, piece in plain)
         self.byte_weight = float(weight.min()) - np.log(2)
         self.splits = all(SPACE not in piece.lstrip(SPACE) for _, piece in plain)
@@ -76,9 +83,66 @@ class Vocabulary:
         self.lone = lone
         probe = "a  b\tc\n d "
         self.plain = p.normalize(probe) == SPACE + probe.replace(" ", SPACE)
+        self.base: Lattices | None = None
+        self.unit_hashes, self.unit_numbers = np.zeros(0, U), np.zeros(0, np.int64)
         flat, sizes = b"".join(self.bytes_of), np.fromiter(map(len, self.bytes_of), np.int64, n)
         self.flat, self.size, self.at = np.frombuffer(flat, np.uint8), sizes, np.cumsum(sizes) - sizes
 
+    def _beginnings(self, raw: list[bytes]) -> np.ndarray:
+        """By a hash's upper bits: whether a proper beginning of some piece has them. Others can't grow into a piece."""
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        first = np.repeat(np.cumsum(size) - size, size)
+        some = (np.arange(len(whole)) > first) & ((whole & 0xC0) != 0x80)
+        out = np.zeros(1 << 20, bool)
+        at = np.flatnonzero(some)
+        out[(run_hashes(prefix_hashes(_SYMBOL[whole]), first[at], at - first[at]) >> U(44)).astype(np.int64)] = True
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        entry = self.slots[(h >> U(44)).astype(np.int64)].astype(np.int64)
+        several = np.flatnonzero(entry == -2)
+        if len(several):
+            entry[several] = np.minimum(np.searchsorted(self.hashes, h[several]), len(self.hashes) - 1)
+        some = np.flatnonzero(entry >= 0)
+        entry[some[self.hashes[entry[some]] != h[some]]] = -1
+        return entry
+
+    def lattices(self, units: pa.Array) -> tuple[Lattices, np.ndarray]:
+        """Lattices that include those of these units, and each unit's number there. The first ``REMEMBERED`` units are kept for later batches."""
+        _, offsets, data = units.buffers()
+        at = np.frombuffer(offsets, np.int32, len(units) + 1).astype(np.int64)
+        h = run_hashes(prefix_hashes(_SYMBOL[np.frombuffer(data, np.uint8, at[-1])]), at[:-1], np.diff(at)) if len(units) else np.zeros(0, U)
+        place = np.minimum(np.searchsorted(self.unit_hashes, h), max(0, len(self.unit_hashes) - 1))
+        known = self.unit_hashes[place] == h if len(self.unit_hashes) else np.zeros(len(h), bool)
+        number, new = np.zeros(len(h), np.int64), np.flatnonzero(~known)
+        number[known] = self.unit_numbers[place[known]]
+        before = 0 if self.base is None else len(self.base.root)
+        number[new] = before + np.arange(len(new))
+        if not len(new) and self.base is not None:
+            return self.base, number
+        lat = Lattices(self, pa.concat_arrays([units.take(pa.array(new))]))
+        lat = lat if self.base is None else self.base.followed_by(lat)
+        if len(lat.root) <= REMEMBERED:
+            self.base = lat
+            order = np.argsort(h[new])
+            spot = np.searchsorted(self.unit_hashes, h[new][order])
+            self.unit_hashes, self.unit_numbers = np.insert(self.unit_hashes, spot, h[new][order]), np.insert(self.unit_numbers, spot, number[new][order])
+        return lat, number
+
+    def spell(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts, as UTF-8, of ids[at[t]:at[t+1]], without the space that encoding puts in front."""
+        size = self.size[ids]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        data = self.flat[np.repeat(self.at[ids] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[at]
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        keep = np.ones(len(data), bool)
+        keep[ends[:-1][full][data[ends[:-1][full]] == 32]] = False
+        ends = ends - np.concatenate(([0], np.cumsum(~keep)))[ends]
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[keep])])
+
     def normalized(self, text: pa.Array) -> pa.Array:
         if self.plain:
             marked = pc.binary_join_element_wise("", pc.replace_substring(text, " ", SPACE), SPACE)
@@ -97,89 +161,111 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """The lattices of several units, side by side: edges sorted by the node they leave."""
+    """The lattices of several units, side by side: a node for each character and one for the unit's end, edges in order of the node they leave, the longest first."""
 
     def __init__(self, v: Vocabulary, units: pa.Array):
         _, offsets, data = units.buffers()
         at = np.frombuffer(offsets, np.int32, len(units) + 1).astype(np.int64)
         raw = np.frombuffer(data, np.uint8, at[-1]) if at[-1] else np.zeros(0, np.uint8)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
-        ends = np.append(lead[1:], at[-1])
+        border = np.append(lead, at[-1])
         first = np.searchsorted(lead, at)  # of each unit, in characters
         unit = np.repeat(np.arange(len(units)), np.diff(first))
-        stop = first[unit + 1]
-        prefix = prefix_hashes(_SYMBOL[raw])
-        # A node for each character and one for each unit's end; further ones for all but the first byte of spelled characters.
+        left = first[unit + 1] - np.arange(len(lead))  # characters to the unit's end
         node = np.arange(len(lead)) + unit
-        self.root = first[:-1] + np.arange(len(units))
-        self.final = first[1:] + np.arange(len(units))
-        source, target, ids, weight = [], [], [], []
+        self.root, self.final = first[:-1] + np.arange(len(units)), first[1:] + np.arange(len(units))
+        n_nodes = len(lead) + len(units)
+
+        prefix = prefix_hashes(_SYMBOL[raw])
+        _, down = powers(len(prefix))
+        here, scale = prefix[lead], down[lead]
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         char = np.arange(len(lead))
-        single = np.zeros(len(lead), bool)
         for n in range(1, v.longest + 1):
-            char = char[char + n <= stop[char]]
+            char = char[left[char] >= n]
             if not len(char):
                 break
-            begin = lead[char]
-            h = run_hashes(prefix, begin, ends[char + n - 1] - begin)
-            place = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            ok = np.flatnonzero(v.hashes[place] == h)
-            if n == 1:
-                single[char[ok]] = True
-            source.append(node[char[ok]])
-            target.append(node[char[ok]] + n)
-            ids.append(v.ids[place[ok]])
-            weight.append(v.weights[place[ok]])
-        extra = len(lead) + len(units)
-        for c in np.flatnonzero(~single).tolist():
-            spelled = raw[lead[c] : ends[c]].tolist()
-            chain = [int(node[c]), *range(extra, extra + len(spelled) - 1), int(node[c]) + 1]
-            extra += len(spelled) - 1
-            source.append(np.array(chain[:-1]))
-            target.append(np.array(chain[1:]))
-            ids.append(v.byte_id[spelled])
-            weight.append(np.array([v.byte_weight * len(spelled)] + [0.0] * (len(spelled) - 1)))
-        source, target, ids, weight = (np.concatenate(x) if x else np.zeros(0) for x in (source, target, ids, weight))
-        order = np.argsort(source, kind="stable")
-        self.source, self.target, self.ids, weight = source[order].astype(np.int64), target[order].astype(np.int64), ids[order].astype(np.int64), weight[order]
-        self.n_nodes = extra
-        self.edge_at = np.searchsorted(self.source, np.arange(extra + 1))
-        # Backward log masses, by characters left to the unit's end; a byte inside a character comes just after it.
-        depth = np.full(extra, -1.0)
-        depth[node] = stop - np.arange(len(lead))
-        depth[self.final] = 0
-        if extra > len(lead) + len(units):
-            chained = self.source >= len(lead) + len(units)
-            left = np.zeros(extra - len(lead) - len(units))
-            inner = self.source[chained] - len(lead) - len(units)
-            # Chains are short, so settle them from their ends.
-            goal = self.target[chained]
-            for _ in range(4):
-                left[inner] = np.where(goal < len(lead) + len(units), depth[np.minimum(goal, len(lead) + len(units) - 1)], left[np.maximum(goal - len(lead) - len(units), 0)]) + 1e-3
-            depth[len(lead) + len(units) :] = left
-        beta = np.zeros(extra)
-        by = np.argsort(depth[self.source], kind="stable")
-        steps = depth[self.source][by]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(steps)) + 1, [len(by)])) if len(by) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            edges = by[a:b]
-            s = self.source[edges]
-            new = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            h = (prefix[border[char + n]] - here[char]) * scale[char]
+            entry = v.find(h)
+            ok = entry >= 0
+            found.append((n, char[ok], entry[ok]))
+            char = char[v.begins[(h >> U(44)).astype(np.int64)]]
+        single = np.zeros(len(lead), bool)
+        if found:
+            single[found[0][1]] = True
+        spelled = np.flatnonzero(~single)
+
+        degree = np.bincount(np.concatenate([node[c] for _, c, _ in found] + [node[spelled]]) if len(lead) else np.zeros(0, np.int64), minlength=n_nodes)
+        self.edge_at = np.concatenate(([0], np.cumsum(degree)))
+        size = int(self.edge_at[-1])
+        self.target, self.ids, weight = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size)
+        free = self.edge_at[1:] - 1
+        # Characters without a piece of their own are spelled in bytes: such an edge's id is -1 - (its place in ``spellings``).
+        self.spellings = [v.byte_id[raw[border[c] : border[c + 1]]] for c in spelled.tolist()]
+        put = free[node[spelled]]
+        self.target[put], self.ids[put] = node[spelled] + 1, -1 - np.arange(len(spelled))
+        weight[put] = v.byte_weight * np.fromiter(map(len, self.spellings), np.int64, len(spelled))
+        free[node[spelled]] -= 1
+        for n, c, entry in found:
+            put = free[node[c]]
+            self.target[put], self.ids[put], weight[put] = node[c] + n, v.ids[entry], v.weights[entry]
+            free[node[c]] -= 1
+
+        # Backward log masses, from the units' ends.
+        depth = np.zeros(n_nodes, np.uint16)
+        depth[node] = left
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+        beta = np.zeros(n_nodes)
+        self.logp = np.zeros(size)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            nodes = order[a:b]
+            sizes = degree[nodes]
+            begin = np.cumsum(sizes) - sizes
+            edges = np.repeat(self.edge_at[nodes] - begin, sizes) + np.arange(int(sizes.sum()))
             score = weight[edges] + beta[self.target[edges]]
-            most = np.maximum.reduceat(score, new)
-            sizes = np.diff(np.append(new, len(edges)))
-            beta[s[new]] = most + np.log(np.add.reduceat(np.exp(score - np.repeat(most, sizes)), new))
-        self.logp = np.minimum(weight + beta[self.target] - beta[self.source], 0.0)
-        upto = np.cumsum(np.exp(self.logp))
-        before = np.concatenate(([0.0], upto))[self.edge_at[self.source]]
-        self.cdf = self.source + np.minimum(upto - before, 1.0)
-        last = self.edge_at[1:][np.diff(self.edge_at) > 0] - 1
-        self.cdf[last] = self.source[last] + 1.0
+            most = np.maximum.reduceat(score, begin)
+            beta[nodes] = most + np.log(np.add.reduceat(np.exp(score - np.repeat(most, sizes)), begin))
+            self.logp[edges] = np.minimum(score - np.repeat(beta[nodes], sizes), 0.0)
+        upto = np.concatenate(([0.0], np.cumsum(np.exp(self.logp))))
+        self.cdf = upto[1:] - np.repeat(upto[self.edge_at[:-1]], degree)
+
+    def followed_by(self, other: Lattices) -> Lattices:
+        """Both, the other's units numbered after one's own."""
+        out = Lattices.__new__(Lattices)
+        nodes = len(self.edge_at) - 1
+        out.root, out.final, out.target = (np.concatenate((getattr(self, c), getattr(other, c) + nodes)) for c in ("root", "final", "target"))
+        out.ids = np.concatenate((self.ids, np.where(other.ids < 0, other.ids - len(self.spellings), other.ids)))
+        out.logp, out.cdf = (np.concatenate((getattr(self, c), getattr(other, c))) for c in ("logp", "cdf"))
+        out.edge_at = np.concatenate((self.edge_at, other.edge_at[1:] + self.edge_at[-1]))
+        out.spellings = self.spellings + other.spellings
+        return out
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge for each node, by probability."""
-        at = np.searchsorted(self.cdf, node + u, side="left")
-        return np.clip(at, self.edge_at[node], self.edge_at[node + 1] - 1)
+        e, last = self.edge_at[node], self.edge_at[node + 1] - 1
+        go = np.flatnonzero((e < last) & (u > self.cdf[e]))
+        while len(go):
+            e[go] += 1
+            go = go[(e[go] < last[go]) & (u[go] > self.cdf[e[go]])]
+        return e
+
+    def source_of(self, edges: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edge_at, edges, side="right") - 1
+
+    def ids_of(self, edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of paths' edges, and where each path's begin."""
+        ids = self.ids[edges].astype(np.int64)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, at
+        sizes = np.ones(len(ids), np.int64)
+        parts = [self.spellings[-1 - i] for i in ids[odd].tolist()]
+        sizes[odd] = np.fromiter(map(len, parts), np.int64, len(parts))
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.repeat(ids, sizes)
+        out[out < 0] = np.concatenate(parts)
+        return out, upto[at]
 
 
 def uniforms(key: np.ndarray, sample: int, *places: np.ndarray) -> np.ndarray:
@@ -201,19 +287,23 @@ class Paths:
 
 def walk(lat: Lattices, node: np.ndarray, final: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Draw from each node to its unit's end; the walkers' edges, walker after walker, and their numbers."""
-    who, edges, active, step = [], [], np.flatnonzero(node != final), 0
-    node = node.copy()
+    who, edges, step = [], [], 0
+    active = np.flatnonzero(node != final)
+    node, final = node[active], final[active]
+    h = mix(mix(key[active] ^ U(sample * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) ^ (place[active].astype(U) * U(0xC2B2AE3D27D4EB4F)))
     while len(active):
-        e = lat.draw(node[active], uniforms(key[active], sample, place[active], np.full(len(active), step)))
+        u = ((mix(h ^ U(step * 0x165667B19E3779F9 & (1 << 64) - 1)) >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        e = lat.draw(node, u)
         who.append(active)
         edges.append(e)
-        node[active] = lat.target[e]
-        active = active[node[active] != final[active]]
+        node = lat.target[e]
+        go = np.flatnonzero(node != final)
+        active, node, final, h = active[go], node[go], final[go], h[go]
         step += 1
     if not who:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     who, edges = np.concatenate(who), np.concatenate(edges)
-    order = np.argsort(who, kind="stable")
+    order = np.argsort(who.astype(np.int32), kind="stable")
     return edges[order], who[order]
 
 
@@ -243,7 +333,8 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
             if a < len(some) and some[a] == p.at[t] + start[t]:
                 gone[a] = np.exp(lat.logp[out]).sum()
         left = 1.0 - gone
-        choice = lat.edge_at[lat.source[p.edges[some]] + 1] - lat.edge_at[lat.source[p.edges[some]]]
+        source = lat.source_of(p.edges[some])
+        choice = lat.edge_at[source + 1] - lat.edge_at[source]
         ruled = np.ones(len(some), np.int64)
         for t, out in taken.items():
             a = np.searchsorted(some, p.at[t] + start[t])
@@ -267,9 +358,11 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
         for j, (_, d, v, _) in enumerate(open_):
             if not len(v):
                 continue
-            order = np.lexsort((v, d))
-            last = order[np.append(np.flatnonzero(np.diff(d[order])), len(order) - 1)]
-            better = last[v[last] > value[d[last]]]
+            begin = np.flatnonzero(np.diff(d, prepend=-1))  # entries are in order of their texts
+            most = np.maximum.reduceat(v, begin)
+            top = np.flatnonzero(v == np.repeat(most, np.diff(np.append(begin, len(d)))))
+            top = top[np.diff(d[top], prepend=-1) > 0]
+            better = top[v[top] > value[d[top]]]
             value[d[better]], path[d[better]], spot[d[better]] = v[better], j, better
         return value, path, spot
 
@@ -279,6 +372,11 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
         start, taken, heads = np.zeros(n, np.int64), {}, {}
         node, unit_at = np.zeros(len(go), np.int64), np.zeros(len(go), np.int64)
         u = uniforms(keys[go], 2000 + j, np.zeros(len(go)))
+        left_at = np.zeros(len(go), np.int64)
+        for which in range(len(open_)):
+            of = np.flatnonzero(path[go] == which)
+            left_at[of] = paths[which].edges[open_[which][0][spot[go[of]]]] if len(of) else 0
+        sources = lat.source_of(left_at).tolist()
         for x, t in enumerate(go.tolist()):
             some, _, v, ruled = open_[path[t]]
             v[spot[t]] = -np.inf
@@ -286,7 +384,7 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
             at_edge = int(some[spot[t]])
             here = at_edge - int(p.at[t])
             out = ruled.get(t, [int(p.edges[at_edge])]) if here == starts[path[t]][t] and t in ruled else [int(p.edges[at_edge])]
-            s = int(lat.source[p.edges[at_edge]])
+            s = sources[x]
             choices = [e for e in range(int(lat.edge_at[s]), int(lat.edge_at[s + 1])) if e not in out]
             upto = np.cumsum(np.exp(lat.logp[choices]))
             e = choices[min(int(np.searchsorted(upto, u[x] * upto[-1])), len(choices) - 1)]
@@ -325,8 +423,11 @@ def sample_batch(lat: Lattices, unit: np.ndarray, at: np.ndarray, keys: np.ndarr
     return out
 
 
-def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, seed: int = 42) -> DataFrame:
-    """(id, sample, n_pieces, log_prob, log_inclusion, ids): the sampled segmentations of each text; ids as little-endian unsigned 32-bit integers."""
+def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, seed: int = 42, decode: bool = False) -> DataFrame:
+    """(id, sample, n_pieces, log_prob, log_inclusion, ids): the sampled segmentations of each text; ids as little-endian unsigned 32-bit integers.
+
+    With ``decode`` there is also ``text``, decoded from each one's ids (as UTF-8).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in pieces(batches, "text", 2 << 20):
@@ -355,19 +456,18 @@ def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             if len(cuts) < 2:
                 cuts = np.zeros(1, np.int64)
             units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), data).dictionary_encode() if len(cuts) > 1 else pa.array([], pa.string()).dictionary_encode()
-            lat = Lattices(v, pa.concat_arrays([units.dictionary]))
-            found = sample_batch(lat, units.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(cuts, at), keys, k)
+            lat, number = v.lattices(pa.concat_arrays([units.dictionary]))
+            found = sample_batch(lat, number[units.indices.to_numpy(zero_copy_only=False)], np.searchsorted(cuts, at), keys, k)
             for j, (some, paths, total, inclusion) in enumerate(found):
-                ids = lat.ids[paths.edges].astype("<u4")
-                own = pa.array((4 * paths.at).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, own.buffers()[1], pa.py_buffer(ids.tobytes())])
+                ids, begin = lat.ids_of(paths.edges, paths.at)
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * begin).astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())])
                 pick = pa.array(some)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pick), pa.array(np.full(len(some), j), pa.int32()), pa.array(np.diff(paths.at)[some]), pa.array(total[some]), pa.array(inclusion[some]), packed.take(pick)],
-                    names=["id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"],
+                    [b.column("id").take(pick), pa.array(np.full(len(some), j), pa.int32()), pa.array(np.diff(begin)[some]), pa.array(total[some]), pa.array(inclusion[some]), packed.take(pick), *([v.spell(ids, begin).take(pick)] if decode else [])],
+                    names=["id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids", *(["text"] if decode else [])],
                 )
 
-    fields = [("id", docs.schema[id_col].dataType), ("sample", T.IntegerType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("ids", T.BinaryType())]
+    fields = [("id", docs.schema[id_col].dataType), ("sample", T.IntegerType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("ids", T.BinaryType()), *([("text", T.BinaryType())] if decode else [])]
     return docs.selectExpr(f"`{id_col}` AS id", f"cast(`{text_col}` AS string) AS text").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
@@ -381,16 +481,7 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
                 raws = b.column(ids_col).to_pylist()
                 ids = np.frombuffer(b"".join(raws), "<u4").astype(np.int64)
                 n = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
-                size = v.size[ids]
-                upto = np.concatenate(([0], np.cumsum(size)))
-                data = v.flat[np.repeat(v.at[ids] - upto[:-1], size) + np.arange(upto[-1])]
-                ends = upto[np.concatenate(([0], np.cumsum(n)))]
-                full = np.flatnonzero(ends[1:] > ends[:-1])
-                front = ends[:-1][full][data[ends[:-1][full]] == 32]  # the space put in front
-                keep = np.ones(len(data), bool)
-                keep[front] = False
-                ends = np.concatenate(([0], np.cumsum(keep)))[ends]
-                text = pa.Array.from_buffers(pa.binary(), len(raws), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[keep])])
+                text = v.spell(ids, np.concatenate(([0], np.cumsum(n))))
                 yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, "text"])
 
     shape = T.StructType([*rows.schema.fields, T.StructField("text", T.BinaryType())])
