@@ -39,7 +39,7 @@ from setweave.llm.repeats import U, mix, powers, prefix_hashes, run_hashes
 
 SPACE = "▁"
 LONG = 256
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 FAINT = -37.0
 _SYMBOL = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 

@@ -94,30 +94,53 @@ def anchors(units: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple
         return (np.zeros(0, U), *(np.zeros(0, np.int64),) * 3)
     a = (least[p] & low).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1))))
-    return h[a[new]], a[new], p[new], np.diff(np.concatenate((new, [len(p)])))
+    return h[a[new]] >> U(24), a[new], p[new], np.diff(np.concatenate((new, [len(p)])))
 
 
-ANCHOR = (("h", "<u8"), ("id", "<i8"), ("th", "<i8"), ("a", "<i8"), ("left", "<u2"), ("n", "<u2"), ("times", "<u4"))
-CONTEXT = (("h", "<u8"), ("id", "<i8"), ("th", "<i8"), ("p", "<i8"), ("left", "<u2"), ("n", "<u2"), ("size", "<u4"))
-WINDOW = (("h", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("p", "<i8"))
-SPAN = (("id", "<i8"), ("th", "<i8"), ("start", "<i8"), ("end", "<i8"))
+#: Columns of packed rows and their types; an unsigned type may have any number of bytes up to 8. A hash of 40 bits is enough to meet by: the
+#: units themselves decide. ``th`` tells apart texts of one id.
+ANCHOR = (("h", "<u5"), ("id", "<i8"), ("th", "<u4"), ("a", "<u4"), ("left", "<u1"), ("n", "<u1"), ("times", "<u2"))
+CONTEXT = (("h", "<u5"), ("id", "<i8"), ("th", "<u4"), ("p", "<u4"), ("left", "<u1"), ("n", "<u1"), ("size", "<u4"))
+WINDOW = (("h", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<u4"), ("p", "<u4"))
+SPAN = (("id", "<i8"), ("th", "<u4"), ("start", "<u4"), ("end", "<u4"))
+
+
+def _written(values: np.ndarray, kind: str) -> bytes:
+    size = int(kind[-1])
+    if size in (1, 2, 4, 8):
+        return np.asarray(values).astype(kind).tobytes()
+    return np.asarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _read(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = int(kind[-1])
+    if size in (1, 2, 4, 8):
+        return np.frombuffer(raw, kind, n, at)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)
+    return out.view("<u8").ravel()
 
 
 def pack(columns: dict[str, np.ndarray], kinds: tuple, blob: list[bytes] | None = None) -> bytes:
     n = len(columns[kinds[0][0]])
-    return b"".join([n.to_bytes(8, "little"), *(np.asarray(columns[c]).astype(t).tobytes() for c, t in kinds), *(blob or [])])
+    return b"".join([n.to_bytes(8, "little"), *(_written(columns[c], t) for c, t in kinds), *(blob or [])])
 
 
 def unpack(raw: bytes, kinds: tuple) -> tuple[dict[str, np.ndarray], bytes]:
     n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
     for c, t in kinds:
-        out[c] = np.frombuffer(raw, t, n, at)
+        out[c] = _read(raw, t, n, at)
         at += n * int(t[-1])
     return out, raw[at:]
 
 
+def _held(kind: str) -> str:
+    """The type in which numpy holds a column."""
+    return kind if int(kind[-1]) in (1, 2, 4, 8) else "<u8"
+
+
 def joined(parts: list[dict[str, np.ndarray]], kinds: tuple) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in kinds}
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, _held(t)) for c, t in kinds}
 
 
 def dealt(kind: int, target: np.ndarray, columns: dict[str, np.ndarray], kinds: tuple, blobs: list[bytes] | None = None) -> list[tuple[int, int, bytes]]:
@@ -189,8 +212,8 @@ def _find_anchors(units: Units, n_parts: int, n_buckets: int):
             h = x["h"][order]
             first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
             times = np.diff(np.concatenate((np.flatnonzero(first), [len(h)])))
-            x["times"] = np.zeros(len(h), np.uint32)
-            x["times"][order] = np.repeat(times, times)
+            x["times"] = np.zeros(len(h), np.int64)
+            x["times"][order] = np.repeat(np.minimum(times, (1 << 16) - 1), times)
             one = {c: v[order[first]] for c, v in x.items()}
             many = {c: v[x["times"] > 1] for c, v in x.items()}
             # A hash goes out once, with how often it is here; where it is here twice, its anchors are flagged at once.
@@ -329,11 +352,11 @@ def _contexts_of(b: pa.RecordBatch, units: Units, n_parts: int, x: dict[str, np.
                 out[c].append(v)
             blobs.append(context)
     own = int(b.column("target")[0].as_py())
-    columns = {c: np.array(out[c], t) for c, t in CONTEXT}
+    columns = {c: np.array(out[c], _held(t)) for c, t in CONTEXT}
     rows = dealt(0, (mix(columns["h"]) % U(n_parts)).astype(np.int64), columns, CONTEXT, blobs)
-    columns = {c: np.array(win[c], t) for c, t in WINDOW}
+    columns = {c: np.array(win[c], _held(t)) for c, t in WINDOW}
     rows += dealt(3, (columns["h"] % U(n_parts)).astype(np.int64), columns, WINDOW)
-    columns = {c: np.array(spans[c], t) for c, t in SPAN}
+    columns = {c: np.array(spans[c], _held(t)) for c, t in SPAN}
     rows += dealt(2, np.full(len(columns["id"]), own), columns, SPAN)
     if rows:
         plain = batch_of(rows)
@@ -452,11 +475,13 @@ def _free(spark: SparkSession) -> None:
 
 def without_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, spans, kept): units of each document, removed spans of units [start, end), and what is left, as UTF-8."""
+    if not 1 <= units.gram <= units.width <= 255:
+        raise ValueError("a window has 1 to 255 units")
     spark = docs.sparkSession
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Null ids come first.
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), text.alias("text"))
 
     found = save(rows.mapInArrow(_find_anchors(units, n_parts, n_parts), ROW), "anchors")
     bytes_met = found.filter("kind = 0").agg(F.sum(F.octet_length("payload"))).first()[0] or 0
