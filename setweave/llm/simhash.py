@@ -50,7 +50,7 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def majority(hashes: np.ndarray) -> np.ndarray:
     """The bits, of rows of 64-bit words, that are set in over half the rows; one row of words."""
-    hashes = hashes.reshape(len(hashes), -1)
+    hashes = hashes if hashes.ndim == 2 else hashes[:, None]
     counts = np.zeros(hashes.shape[1] * 64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         block = np.ascontiguousarray(hashes[at : at + (1 << 15)])
