@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions import dna
 from setweave.functions.planning import IbltSpec
+from setweave.functions.session import checkpointed
 from setweave.operators import fragments, iblt, sets
 
 
@@ -111,10 +112,10 @@ def sketch_experiment(a: DataFrame, b: DataFrame, spec: IbltSpec) -> dict[str, f
     """Build, subtract and list two token sets; seconds of each step, bytes, sizes and similarity."""
     out: dict[str, float | int | bool | None] = {"ibfsize": spec.sketch_bytes}
     began = time.perf_counter()
-    cells_a = iblt.build(a, spec).checkpoint()
+    cells_a = checkpointed(iblt.build(a, spec))
     out["obtime"] = time.perf_counter() - began
     began = time.perf_counter()
-    cells_b = iblt.build(b, spec).checkpoint()
+    cells_b = checkpointed(iblt.build(b, spec))
     out["mbtime"] = time.perf_counter() - began
     began = time.perf_counter()
     row = iblt.jaccard(cells_a, cells_b, spec).first()

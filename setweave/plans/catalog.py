@@ -6,13 +6,12 @@ of low quality. Every query reads its tables whole.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions import dna, hashing
 from setweave.functions.planning import CELLS_PER_KEY, IbltSpec
+from setweave.functions.session import checkpointed
 from setweave.operators import fragments, iblt, minhash, reconcile, reports, sets, simulate
 from setweave.plans import oracles as sql
 from setweave.plans.oracles import DNA, G, K, M, SIDES, Z
@@ -82,9 +81,9 @@ def kmers_per_document(spark, sf_dir):
     return per_doc(fragments.kmers(bases(spark, sf_dir), K))
 
 
-@query(f"WITH {DNA}, {sql.windows('w', 31)} SELECT doc_id, pos, token FROM w WHERE true")
-def kmers_31(spark, sf_dir):
-    return fragments.kmers(bases(spark, sf_dir), 31).select("doc_id", "pos", "token")
+@query(f"WITH {DNA}, {sql.windows('w', 31)} " + PER_DOC.format("w"))
+def kmers_31_per_document(spark, sf_dir):
+    return per_doc(fragments.kmers(bases(spark, sf_dir), 31))
 
 
 @query(f"WITH {DNA}, {sql.minimizers('p', K, 10)} SELECT doc_id, pos, substr(seq, pos + 1, {K}) AS token FROM p")
@@ -328,7 +327,7 @@ def iblt_row_print(spark, sf_dir):
 
 def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, IbltSpec]:
     """Both sides' tables, sized by the exact difference."""
-    both = sided_sets(spark, sf_dir).checkpoint() if spark.sparkContext.getCheckpointDir() else sided_sets(spark, sf_dir)
+    both = checkpointed(sided_sets(spark, sf_dir))
     n = sets.membership(both).filter("in_i != in_j").count()
     spec = IbltSpec(K, max(1, n), epsilon=0.6)
     a, b = (iblt.build(both.filter(F.col("side") == s).select("token"), spec, distinct=False) for s in "ij")
@@ -400,7 +399,7 @@ def weighted_samples(spark, sf_dir):
 
 @query(f"""WITH {DNA}, {SIDES}, q AS (SELECT side, doc_id, min(doc_id) OVER (PARTITION BY side, seq) AS first_id, seq FROM sided)
 SELECT side, doc_id AS name, CASE WHEN doc_id <> first_id THEN 'duplicate' WHEN seq IN (SELECT seq FROM sided o WHERE o.side <> q.side) THEN 'common' ELSE 'only' END AS status
-FROM q WHERE len(list_filter(regexp_extract_all(seq, '[ACGT]+'), x -> length(x) >= {K})) > 0""")
+FROM q WHERE regexp_matches(seq, '[ACGT]{{{K},}}')""")
 def collection_reconcile(spark, sf_dir):
     """Members are documents; whole k-mer sets, as long as no two different sequences share one, agree as the sequences do."""
     rows = sided(spark, sf_dir)
@@ -474,13 +473,10 @@ def similarity_by_method(spark, sf_dir):
     return reports.similarity_by_method(sided(spark, sf_dir), K, Z, 10)
 
 
-@query("SELECT 0::BIGINT AS missing")
+@query()
 def extended_syncmers_cover(spark, sf_dir):
-    """No k-mer of the exact difference may be missing from that of extended syncmers, which hold whole stretches."""
-    runs = sided(spark, sf_dir).select("side", F.explode(F.split("seq", "[.]")).alias("seq"))
-    exact = sets.symmetric_difference(fragments.kmers(runs, K).select("side", "token").distinct())
-    whole = fragments.kmers_or_self(exact, K).select("side", "token").distinct()
-    return exact.join(whole, ["side", "token"], "left_anti").agg(F.count("*").alias("missing"))
+    """k-mers of the exact difference that the difference of extended syncmers does not hold, by side."""
+    return reports.extended_covers(sided(spark, sf_dir), K, Z, G)
 
 
 @query()
@@ -510,5 +506,3 @@ def stream_counts(spark, sf_dir):
     per_user = streams.run_to_end(events.groupBy("event_type", "user_id").agg(F.count("*").alias("n")), "stream_event_counts")
     return per_user.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
 
-
-assert math.isfinite(SPEC.chunk)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from setweave.functions import dna
 from setweave.functions.hashing import little_endian, murmur128
 from setweave.functions.planning import IbltSpec
+from setweave.functions.session import fresh_folder
 from setweave.operators.iblt import addresses_of
 
 
@@ -45,7 +46,7 @@ def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is and return its result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", fresh_folder(stream.sparkSession, name)).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
