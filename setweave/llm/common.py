@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, without this call
+    _LIBC = None
 #: ASCII white space parts words; everything else, in any script, belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,8 +96,18 @@ def ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return kept.join(F.broadcast(starts), part == F.col("__p")).withColumn(name, F.col("__start") + row).drop("__at", "__p", "__start")
 
 
+def release() -> None:
+    """Give freed memory back to the machine: idle Python workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has about ``limit`` bytes of text; a longer text stands alone."""
+    """Cut record batches so that each has about ``limit`` bytes of text; a longer text stands alone.
+
+    Memory freed meanwhile is given back after each piece.
+    """
     for b in batches:
         n = b.num_rows
         if not n:
@@ -103,6 +118,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
             base = at[begin - 1] if begin else 0
             end = max(begin + 1, int(at.searchsorted(base + limit, side="right")))
             yield b.slice(begin, end - begin)
+            release()
             begin = end
 
 

@@ -39,7 +39,7 @@ from setweave.llm.repeats import U, mix, powers, prefix_hashes, run_hashes
 
 SPACE = "▁"
 LONG = 256
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 FAINT = -37.0
 _SYMBOL = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
@@ -228,7 +228,7 @@ class Lattices:
             beta[nodes] = most + np.log(np.add.reduceat(np.exp(score - np.repeat(most, sizes)), begin))
             self.logp[edges] = np.minimum(score - np.repeat(beta[nodes], sizes), 0.0)
         upto = np.concatenate(([0.0], np.cumsum(np.exp(self.logp))))
-        self.cdf = upto[1:] - np.repeat(upto[self.edge_at[:-1]], degree)
+        self.cdf = (upto[1:] - np.repeat(upto[self.edge_at[:-1]], degree)).astype(np.float32)
 
     def followed_by(self, other: Lattices) -> Lattices:
         """Both, the other's units numbered after one's own."""
@@ -430,7 +430,7 @@ def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             text = pa.concat_arrays([v.normalized(texts(b.column("text")))])
             n = len(text)
             keys = np.array([xxhash.xxh64_intdigest(repr(i).encode(), seed) for i in b.column("id").to_pylist()], U)
