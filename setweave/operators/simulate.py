@@ -83,5 +83,5 @@ def random_sequences(spark: SparkSession, n: int, length: int, seed: int = 42) -
 def founder_and_mutants(spark: SparkSession, n: int, length: int, rate: float = 0.01, indels: float = 0.15, extend: float = 0.3, seed: int = 42) -> DataFrame:
     """(rec_no, seq): a random founder, number 0, and n mutants of it."""
     founder = random_sequences(spark, 1, length, seed)
-    copies = founder.select(F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("rec_no"), "seq")
+    copies = founder.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("rec_no"), "seq")
     return founder.unionByName(mutate(copies, rate, indels, extend, seed).select("rec_no", "seq"))

@@ -492,12 +492,13 @@ def random_sequences(spark, sf_dir):
 STREAM_SPEC = IbltSpec(16, 1000, epsilon=0.6)
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id::BIGINT AS key, unnest(range(0, {STREAM_SPEC.r})) AS row FROM events), {sql.murmur_x64("h", "e", sql.SWAPPED, None, 4, "42 + row", "*")}
+SELECT row::INT AS row, (lo % {STREAM_SPEC.chunk})::BIGINT AS col, count(*) AS counter, bit_xor(key) AS key FROM h GROUP BY ALL""")
 def stream_iblt(spark, sf_dir):
-    """Cells of the set of users that were seen, from the stream of events."""
-    users = streams.read_table_stream(spark, sf_dir, "events").select(F.translate(F.lpad(F.conv(F.col("user_id").cast("string"), 10, 4), 16, "0"), "0123", "ACGT").alias("token"))
-    cells = streams.stream_cells(users, STREAM_SPEC)
-    return streams.run_to_end(cells, "stream_iblt_cells")
+    """Cells of the set of events, from their stream; an event's number in base four is its token."""
+    events = streams.read_table_stream(spark, sf_dir, "events")
+    tokens = events.select(F.translate(F.lpad(F.conv(F.col("event_id").cast("string"), 10, 4), 16, "0"), "0123", "ACGT").alias("token"))
+    return streams.run_to_end(streams.stream_cells(tokens, STREAM_SPEC), "stream_iblt_cells")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

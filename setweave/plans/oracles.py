@@ -159,14 +159,17 @@ def murmur_x86(name: str, source: str, t: str, length: int, seed: int, keep: str
     return ",\n".join(out)
 
 
+#: A key of four bytes, the highest first, as the little-endian integer that is hashed.
+SWAPPED = "((key >> 24) & 255) + ((key >> 16) & 255) * 256 + ((key >> 8) & 255) * 65536 + (key & 255) * 16777216"
+
+
 def cells(name: str, tokens: str, k: int, r: int, chunk: int, sign: str = "1", by: str = "") -> str:
     """CTEs of the cells of a table over ``tokens`` (by, token), for keys of four bytes."""
     key = f"({code('token', k)} * {4 ** (16 - k)})::BIGINT"
     head = f"{by}, " if by else ""
-    swapped = "((key >> 24) & 255) + ((key >> 16) & 255) * 256 + ((key >> 8) & 255) * 65536 + (key & 255) * 16777216"
     return ",\n".join([
         f"{name}_k AS (SELECT {head}{key} AS key, {sign} AS sign FROM {tokens})",
         f"{name}_r AS (SELECT *, unnest(range(0, {r})) AS row FROM {name}_k)",
-        murmur_x64(f"{name}_h", f"{name}_r", swapped, None, 4, f"{SEED} + row", "*"),
+        murmur_x64(f"{name}_h", f"{name}_r", SWAPPED, None, 4, f"{SEED} + row", "*"),
         f"{name} AS (SELECT {head}row::INT AS row, (lo % {chunk})::BIGINT AS col, sum(sign)::BIGINT AS counter, bit_xor(key) AS key FROM {name}_h GROUP BY ALL HAVING sum(sign) <> 0 OR bit_xor(key) <> 0)",
     ])

