@@ -6,6 +6,10 @@ store makes each micro-batch count once, also when it is run again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from setweave.functions import dna
 from setweave.functions.hashing import little_endian, murmur128
 from setweave.functions.planning import IbltSpec
 from setweave.functions.session import fresh_folder
-from setweave.operators.iblt import addresses_of
+from setweave.operators.iblt import addresses
 
 
 def stream_cells(tokens: DataFrame, spec: IbltSpec, sign: Column | None = None) -> DataFrame:
@@ -21,7 +25,16 @@ def stream_cells(tokens: DataFrame, spec: IbltSpec, sign: Column | None = None)
     token = F.col("token")
     kept = tokens.filter(dna.is_genomic(token) & (F.length(token) == spec.length))
     rows = kept.select(dna.pack(token, spec.length).alias("key"), (F.lit(1) if sign is None else sign).cast("long").alias("counter"))
-    cells = rows.select("key", "counter", F.explode(addresses_of(F.col("key"), spec)).alias("a")).select("key", "counter", "a.row", "a.col")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            counter = b.column("counter").to_numpy(zero_copy_only=False)
+            cols = addresses(key.view(np.uint64), spec)
+            row = np.tile(np.arange(spec.r, dtype=np.int32), len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cols.ravel()), pa.array(np.repeat(counter, spec.r)), pa.array(np.repeat(key, spec.r))], names=["row", "col", "counter", "key"])
+
+    cells = rows.mapInArrow(run, "row int, col bigint, counter bigint, key bigint")
     return cells.groupBy("row", "col").agg(F.sum("counter").alias("counter"), F.bit_xor("key").alias("key"))
 
 
