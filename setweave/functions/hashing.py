@@ -6,12 +6,13 @@ Arrow-batched functions over numpy. Strings of one length are hashed together, a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: Fixed values of the algorithm.
@@ -79,11 +80,11 @@ def _final32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(16))
 
 
-def murmur_x86(rows: np.ndarray, seed: int) -> list[np.ndarray]:
-    """The four 32-bit lanes, in unsigned 64-bit arrays, for each row of bytes."""
+def murmur_x86(rows: np.ndarray, seed: int | np.ndarray) -> list[np.ndarray]:
+    """The four 32-bit lanes, in unsigned 64-bit arrays, for each row of bytes; one seed, or one for each row."""
     n, length = rows.shape
     words = _words(rows, 4)
-    h = [np.full(n, seed, U) for _ in range(4)]
+    h = [np.broadcast_to(np.asarray(seed, U), n).copy() for _ in range(4)]
     inner, outer, turn = (15, 16, 17, 18), (19, 17, 15, 13), (0, 1, 2, 3)
     blocks = length // 16
     for i in range(blocks):
@@ -117,8 +118,8 @@ def murmur_32(rows: np.ndarray, seed: int) -> np.ndarray:
     return _final32(h ^ U(length))
 
 
-def by_length(values: pa.Array, f: Callable[[np.ndarray], list[np.ndarray]], outputs: int) -> list[np.ndarray]:
-    """Apply ``f``, on matrices of bytes, to the strings of each length; nulls count as empty."""
+def by_length(values: pa.Array, f: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], outputs: int) -> list[np.ndarray]:
+    """Apply ``f``, on a matrix of bytes and the places of its rows, to the strings of each length; nulls count as empty."""
     values = pa.concat_arrays([values.cast(pa.binary()).fill_null(b"")])
     n = len(values)
     out = [np.zeros(n, U) for _ in range(outputs)]
@@ -131,7 +132,7 @@ def by_length(values: pa.Array, f: Callable[[np.ndarray], list[np.ndarray]], out
     for length in np.unique(sizes).tolist():
         some = np.flatnonzero(sizes == length)
         rows = raw[at[some][:, None] + np.arange(length)[None, :]] if length else np.zeros((len(some), 0), np.uint8)
-        for target, result in zip(out, f(rows), strict=True):
+        for target, result in zip(out, f(rows, some), strict=True):
             target[some] = result
     return out
 
@@ -141,7 +142,7 @@ def murmur128(token: Column, seed: int = 42) -> Column:
 
     @F.arrow_udf("struct<lo: bigint, hi: bigint>")
     def run(values: pa.Array) -> pa.Array:
-        lo, hi = by_length(values, lambda rows: list(murmur_x64(rows, seed)), 2)
+        lo, hi = by_length(values, lambda rows, _: list(murmur_x64(rows, seed)), 2)
         return pa.StructArray.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], names=["lo", "hi"])
 
     return run(token)
@@ -152,7 +153,7 @@ def murmur128_x86(token: Column, seed: int = 0) -> Column:
 
     @F.arrow_udf("struct<lo: bigint, hi: bigint>")
     def run(values: pa.Array) -> pa.Array:
-        a, b, c, d = by_length(values, lambda rows: murmur_x86(rows, seed), 4)
+        a, b, c, d = by_length(values, lambda rows, _: murmur_x86(rows, seed), 4)
         return pa.StructArray.from_arrays([pa.array((a | (b << U(32))).view(np.int64)), pa.array((c | (d << U(32))).view(np.int64))], names=["lo", "hi"])
 
     return run(token)
@@ -161,33 +162,32 @@ def murmur128_x86(token: Column, seed: int = 0) -> Column:
 def murmur32(token: Column, seed: int = 0) -> Column:
     @F.arrow_udf("bigint")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array(by_length(values, lambda rows: [murmur_32(rows, seed)], 1)[0].astype(np.int64))
+        return pa.array(by_length(values, lambda rows, _: [murmur_32(rows, seed)], 1)[0].astype(np.int64))
 
     return run(token)
 
 
-def counted_hashes(token: Column, count: Column, limit: int) -> Column:
-    """array<struct<lo, hi>>: the ``limit`` smallest x86 hashes of a token over the seeds 0 to count - 1, in unsigned order."""
-
-    @F.arrow_udf("array<struct<lo: bigint, hi: bigint>>")
-    def run(values: pa.Array, counts: pa.Array) -> pa.Array:
-        n = counts.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows, los, his = [], [], []
-        for seed in range(int(n.max(initial=0))):  # all tokens that occur more often than the seed, at once
-            some = np.flatnonzero(n > seed)
-            a, b, c, d = by_length(values.take(pa.array(some)), lambda r, s=seed: murmur_x86(r, s), 4)
-            rows.append(some), los.append(a | (b << U(32))), his.append(c | (d << U(32)))
-        row, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64 if i == 0 else U) for i, x in enumerate((rows, los, his)))
-        order = np.lexsort((hi, lo, row))
-        row, lo, hi = row[order], lo[order], hi[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < limit
-        row, lo, hi = row[keep], lo[keep], hi[keep]
-        at = np.searchsorted(row, np.arange(len(values) + 1)).astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], names=["lo", "hi"])
-        return pa.ListArray.from_arrays(pa.array(at), items)
-
-    return run(token, count)
+def counted_hashes(counts: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., lo, hi) of counted tokens (by..., token, cnt): of each token the ``limit`` smallest, in unsigned order, of its x86 hashes over the seeds 0 to cnt - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.maximum(b.column("cnt").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            for at in range(0, int(upto[-1]), 1 << 18):  # all pairs of token and seed, some at a time
+                place = np.arange(at, min(at + (1 << 18), int(upto[-1])))
+                row = np.searchsorted(upto, place, side="right") - 1
+                seed = (place - upto[row]).astype(U)
+                h1, h2, h3, h4 = by_length(b.column("token").take(pa.array(row)), lambda r, some, seed=seed: murmur_x86(r, seed[some]), 4)
+                lo, hi = h1 | (h2 << U(32)), h3 | (h4 << U(32))
+                order = np.lexsort((hi, lo, row))
+                rank = np.arange(len(row)) - np.searchsorted(row, row)  # rows are in order already
+                order = order[rank < limit]
+                take = pa.array(row[order])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in by), pa.array(lo[order].view(np.int64)), pa.array(hi[order].view(np.int64))], names=[*by, "lo", "hi"])
+
+    shape = T.StructType([*(counts.schema[c] for c in by), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+    return counts.select(*by, "token", "cnt").mapInArrow(run, shape)
 
 
 def unsigned_modulo(h: Column, n: int) -> Column:
