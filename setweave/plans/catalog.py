@@ -266,15 +266,6 @@ def counters_of_reads(spark, sf_dir):
 # Functions on tokens
 
 
-@query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), e AS (SELECT token, {sql.code('token', K)}::BIGINT AS code FROM d), {sql.mix_steps('x', 'e', 'code', K, 'token, code')}
-SELECT count(*) AS n, sum(code)::BIGINT AS code_sum, bit_xor(code * 4) AS key_xor, bit_xor(h) AS mix_xor, min({sql.revcomp('token')}) AS first_revcomp, count(DISTINCT h) AS hashes FROM x""")
-def token_functions(spark, sf_dir):
-    t = F.col("token")
-    rows = sets.token_set(fragments.kmers(bases(spark, sf_dir), K)).select("token", dna.code(t).alias("code"), dna.pack(t, K).alias("key"), dna.mix64(dna.code(t), K).alias("h"))
-    back = rows.filter(dna.unpack(F.col("key"), K) == t)
-    return back.agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"), F.bit_xor("key").alias("key_xor"), F.bit_xor("h").alias("mix_xor"), F.min(dna.reverse_complement(t)).alias("first_revcomp"), F.countDistinct("h").alias("hashes"))
-
-
 @query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), {sql.murmur_x64('h', 'd', sql.bytes_of('token', 1, 8), sql.bytes_of('token', 9, 7), K, '42', 'token')}
 SELECT count(*) AS n, bit_xor((lo % 9223372036854775808::UHUGEINT)::BIGINT) AS low_xor FROM h""")
 def murmur_128(spark, sf_dir):
@@ -392,11 +383,6 @@ def weighted_compare(spark, sf_dir):
     return minhash.weighted_compare(a, b, S)
 
 
-@query()
-def weighted_samples(spark, sf_dir):
-    return minhash.weighted_samples(sets.token_counts(fragments.kmers(bases(spark, sf_dir), K), ("source",)), 8, by=("source",))
-
-
 @query(f"""WITH {DNA}, {SIDES}, q AS (SELECT side, doc_id, min(doc_id) OVER (PARTITION BY side, seq) AS first_id, seq FROM sided)
 SELECT side, doc_id AS name, CASE WHEN doc_id <> first_id THEN 'duplicate' WHEN seq IN (SELECT seq FROM sided o WHERE o.side <> q.side) THEN 'common' ELSE 'only' END AS status
 FROM q WHERE regexp_matches(seq, '[ACGT]{{{K},}}')""")
