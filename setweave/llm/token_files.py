@@ -54,14 +54,16 @@ for _before, _after in [(k, s) for k in (_LETTER, _MARK, _DIGIT, _WIDE) for s in
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library, each different piece of text once.
 
-    Such a tokenizer parts text where white space begins, between letters and punctuation, and after a line break, and never joins
+    Such a tokenizer parts text where white space begins, between letters and punctuation, and after a line break that is the only white space there, and never joins
     across; so what is between two such places is encoded alike alone and in its text. A place counts only if both characters are surely of these
-    kinds (no apostrophe, which may begin a contraction). The ids of at most ``CACHE`` pieces are remembered, by 64-bit hashes.
+    kinds (no apostrophe, which may begin a contraction). A run of white space stays with what follows, on which its parting depends; and no place in or
+    beside an added token counts. The ids of at most ``CACHE`` pieces are remembered, by 64-bit hashes.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.hashes, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _remember(self, h: np.ndarray, pieces_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +90,13 @@ class PieceEncoder:
             kind = _KIND[raw]
             kind[1:][_LEADS[raw[:-1]]] = _WIDE
             begins[1:-1] = _CUT[kind[:-1] * 8 + kind[1:]]
+            # After a break only if what comes before it is surely no white space.
+            begins[2:-1] &= (kind[1:-1] != _BREAK) | ((kind[:-2] != _OTHER) & (kind[:-2] != _SPACE) & (kind[:-2] != _BREAK))
+            whole = raw.tobytes()
+            for token in self.added:
+                at = -1
+                while (at := whole.find(token, at + 1)) >= 0:
+                    begins[at : at + len(token) + 1] = False
         begins[ends] = True
         cuts = np.flatnonzero(begins).astype(np.int32)
         if len(cuts) < 2:

@@ -306,6 +306,12 @@ def test_pieces_encode_as_whole_texts():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("text", ["one\n\ntwo", "one.\n\n\n\n2", "one \n(two", "a\u2003\nb", "\n\nx", "one\r\ntwo", "x<|endoftext|>y", "one\n\n<|endoftext|>\n\ntwo", "<|endoftext|"])
+def test_runs_of_breaks_and_added_tokens_encode_as_whole_texts(text):
+    encode = token_files.PieceEncoder(BPE)
+    assert encode(pa.array(["a.", text, "\nb"]))[0].tolist() == [i for t in ("a.", text, "\nb") for i in encode.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 300, 5000])
 def test_codes_are_short_and_whole(n):
     rng = np.random.default_rng(n)
