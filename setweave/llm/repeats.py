@@ -285,10 +285,11 @@ def _send_contexts(units: Units, n_parts: int):
             if slices is None:  # flags come first, so all are here
                 x = joined(flags, ANCHOR)
                 x["times"] = np.isin(x["h"], np.concatenate(often)) if often else np.zeros(len(x["h"]), bool)
-                order = np.lexsort((x["a"], x["th"], x["id"]))
+                # An anchor near the border of two stretches has windows in both: repeats have the same first window, too.
+                order = np.lexsort((-x["left"].astype(np.int64), x["a"], x["th"], x["id"]))
                 x = {c: v[order] for c, v in x.items()}
                 new = np.ones(len(order), bool)
-                new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["th"][1:] != x["th"][:-1]) | (x["a"][1:] != x["a"][:-1])
+                new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["th"][1:] != x["th"][:-1]) | (x["a"][1:] != x["a"][:-1]) | (x["left"][1:] != x["left"][:-1])
                 x = {c: v[new] for c, v in x.items()}
                 cuts = np.flatnonzero((x["id"][1:] != x["id"][:-1]) | (x["th"][1:] != x["th"][:-1])) + 1
                 begin, end = np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(x["id"])])).tolist()

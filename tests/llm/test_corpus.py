@@ -215,6 +215,19 @@ def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     assert {r["id"]: bytes(r["kept"]) for r in suffix_dedup.without_repeated_strings(df).collect()} == {i: bytes(b for b, out in zip(t.encode(), flags[i], strict=True) if not out) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("remove,width,glue", [(suffix_dedup.without_repeated_strings, 100, ""), (substring_dedup.without_repeated_passages, 20, " ")])
+def test_every_window_at_the_border_of_stretches_is_compared(spark, remove, width, glue):
+    from setweave.llm.repeats import STRETCH
+
+    # A changed STRETCH would not reach the workers, so the text really is that long.
+    letters = np.array(list("abcdefgh") if not glue else [f"w{i}" for i in range(5000)])
+    long = letters[np.random.default_rng(5).integers(0, len(letters), STRETCH + 5 * width)].tolist()
+    border = STRETCH - width + 1  # the first window of the second stretch
+    rows = [(0, glue.join(long)), *((1 + k, glue.join(["X", *long[o : o + width], "Y"])) for k, o in enumerate(range(border - width, border + width)))]
+    got = {r["id"]: r["spans"] for r in remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(0) == [] and {i: s for i, s in got.items() if s != [[1, 1 + width]]} == {} and len(got) == 2 * width
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     raw = [b"banana", b"bandana", b"ban", b"banana", b"apple", b"applet"]
     data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
