@@ -17,12 +17,13 @@ A unigram model's scores are its log weights. A model of merges has ranks instea
 1 / (r + 2). A character without a piece is spelled in bytes. Random numbers are hashes of seed, row key, sample and place.
 
 Defined results: a null text counts as empty; an empty text has one, empty, segmentation with log probability 0 and is included
-surely, as are all of a text that has at most k; a unit of over ``LONG`` characters is cut there; repeated rows
+surely, as are all of a text that has at most k; units of any length are whole, but those of over ``LONG`` bytes are not remembered; repeated rows
 get equal samples; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from setweave.llm.repeats import U, mix, powers, prefix_hashes, run_hashes
 
 SPACE = "▁"
 LONG = 256
+#: Where fewer units than this are still as long, their nodes are taken one by one.
+FEW = 8
 REMEMBERED = 60_000
 FAINT = -37.0
 _SYMBOL = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
@@ -119,16 +122,20 @@ class Vocabulary:
         number, new = np.zeros(len(h), np.int64), np.flatnonzero(~known)
         number[known] = self.unit_numbers[place[known]]
         before = 0 if self.base is None else len(self.base.root)
-        number[new] = before + np.arange(len(new))
-        if not len(new) and self.base is not None:
-            return self.base, number
-        lat = Lattices(self, pa.concat_arrays([units.take(pa.array(new))]))
-        lat = lat if self.base is None else self.base.followed_by(lat)
-        if len(lat.root) <= REMEMBERED:
+        long = np.diff(at)[new] > LONG
+        new, far = new[~long], new[long]
+        number[new], number[far] = before + np.arange(len(new)), before + len(new) + np.arange(len(far))
+        lat = self.base
+        if len(new) or lat is None:
+            lat = Lattices(self, pa.concat_arrays([units.take(pa.array(new, pa.int64()))]))
+            lat = lat if self.base is None else self.base.followed_by(lat)
+        if len(new) and len(lat.root) <= REMEMBERED:
             self.base = lat
             order = np.argsort(h[new])
             spot = np.searchsorted(self.unit_hashes, h[new][order])
             self.unit_hashes, self.unit_numbers = np.insert(self.unit_hashes, spot, h[new][order]), np.insert(self.unit_numbers, spot, number[new][order])
+        if len(far):
+            lat = lat.followed_by(Lattices(self, pa.concat_arrays([units.take(pa.array(far))])))
         return lat, number
 
     def spell(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -212,13 +219,14 @@ class Lattices:
             free[node[c]] -= 1
 
         # Backward log masses, from the units' ends.
-        depth = np.zeros(n_nodes, np.uint16)
+        depth = np.zeros(n_nodes, np.uint16 if left.max(initial=0) < 1 << 16 else np.int32)
         depth[node] = left
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
         beta = np.zeros(n_nodes)
         self.logp = np.zeros(size)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        many = int(np.count_nonzero((np.diff(cuts) >= FEW) | (np.arange(1, len(cuts)) <= LONG)))
+        for a, b in zip(cuts[:many].tolist(), cuts[1 : many + 1].tolist(), strict=True):
             nodes = order[a:b]
             sizes = degree[nodes]
             begin = np.cumsum(sizes) - sizes
@@ -227,9 +235,26 @@ class Lattices:
             most = np.maximum.reduceat(score, begin)
             beta[nodes] = most + np.log(np.add.reduceat(np.exp(score - np.repeat(most, sizes)), begin))
             self.logp[edges] = np.minimum(score - np.repeat(beta[nodes], sizes), 0.0)
+        # What is left of the longest units, in blocks from behind.
+        for i in np.flatnonzero(self.final - self.root > many).tolist():
+            for end in range(int(self.final[i]) - many, int(self.root[i]), -4096):
+                self._masses(max(int(self.root[i]), end - 4096), end, weight, beta)
         upto = np.concatenate(([0.0], np.cumsum(np.exp(self.logp))))
         self.cdf = (upto[1:] - np.repeat(upto[self.edge_at[:-1]], degree)).astype(np.float32)
 
+    def _masses(self, begin: int, end: int, weight: np.ndarray, beta: np.ndarray) -> None:
+        """Backward log masses of the nodes of one unit from ``begin`` to before ``end``, and their edges' log probabilities, node by node."""
+        at = self.edge_at[begin : end + 1]
+        edges = slice(int(at[0]), int(at[-1]))
+        target, w, at = (self.target[edges] - begin).tolist(), weight[edges].tolist(), (at - at[0]).tolist()
+        own = beta[begin : max(end, begin + max(target) + 1)].tolist()
+        for node in range(end - begin - 1, -1, -1):
+            score = [w[e] + own[target[e]] for e in range(at[node], at[node + 1])]
+            most = max(score)
+            own[node] = most + math.log(sum(math.exp(x - most) for x in score))
+        beta[begin:end] = own[: end - begin]
+        self.logp[edges] = np.minimum(weight[edges] + beta[self.target[edges]] - np.repeat(beta[begin:end], np.diff(at)), 0.0)
+
     def followed_by(self, other: Lattices) -> Lattices:
         """Both, the other's units numbered after one's own."""
         out = Lattices.__new__(Lattices)
@@ -447,11 +472,6 @@ def segmentations(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     lone = raw == ord(c)
                     begins[:-1] |= lone
                     begins[1:] |= lone
-            lead = np.flatnonzero((raw & 0xC0) != 0x80)
-            unit_of_char = np.cumsum(begins[:-1])[lead] if len(raw) else np.zeros(0, np.int64)
-            new = np.flatnonzero(np.diff(unit_of_char, prepend=-1)) if len(lead) else np.zeros(0, np.int64)
-            run_at = np.arange(len(lead)) - np.repeat(new, np.diff(np.append(new, len(lead)))) if len(lead) else lead
-            begins[lead[(run_at > 0) & (run_at % LONG == 0)]] = True
             cuts = np.flatnonzero(begins)
             if len(cuts) < 2:
                 cuts = np.zeros(1, np.int64)

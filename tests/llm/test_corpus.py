@@ -396,6 +396,26 @@ def test_samples_follow_the_lattice(spark):
     assert total == pytest.approx(1.0, abs=0.05)
 
 
+@pytest.mark.parametrize("n", [300, 70_000])
+def test_long_units_are_not_cut(spark, n):
+    text = "".join(np.random.default_rng(n).choice(list("etaoinsh"), n))
+    v = piece_sampling.Vocabulary(PIECES)
+    weight = dict(zip(v.ids.tolist(), v.weights.tolist(), strict=True))
+    known = {v.processor.id_to_piece(i): w for i, w in weight.items()}
+    marked = piece_sampling.SPACE + text
+    mass = [0.0] * (len(marked) + 1)
+    for i in range(len(marked) - 1, -1, -1):
+        to = [known[p] + mass[i + len(p)] for k in range(1, v.longest + 1) if (p := marked[i : i + k]) in known and len(p) == k]
+        mass[i] = np.logaddexp.reduce(to)
+    # One text alone in its batch, and one with others.
+    for rows in ([(1, text)], [(1, text), *((2 + i, "a " * i + text[: 20 * i]) for i in range(15))]):
+        got = piece_sampling.segmentations(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PIECES, decode=True).filter("id = 1").collect()
+        assert len(got) == 3
+        for r in got:
+            assert bytes(r["text"]).decode() == text
+            assert r["log_prob"] == pytest.approx(sum(weight[i] for i in np.frombuffer(r["ids"], "<u4").tolist()) - mass[0], abs=1e-4)
+
+
 def test_all_segmentations_are_surely_included(spark):
     df = spark.createDataFrame([(1, "a"), (2, "")], "doc_id long, text string")
     rows = piece_sampling.segmentations(df, PIECES, k=50).collect()
