@@ -16,7 +16,6 @@ needs make one shingle; repeated rows share a class; null ids sort first; an emp
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import types as T
 
 from setweave.llm.common import maybe_broadcast, pieces, save, texts
 from setweave.llm.components import components
+from setweave.llm.repeats import mix
 
 HOT = 20_000
 #: Buckets up to this size are compared pair by pair; larger ones also count how dense their links are.
@@ -204,6 +204,11 @@ def links(members: DataFrame, tau: int = 3, segments: int = 8, bins: str | None
     variants = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("same")) for v, (s, m) in enumerate(ring.variants)))
     rows = members.select("id", "fp", *extra, *([F.explode(bins).alias("bin")] if bins else [F.lit(0).alias("bin")])).select("*", F.explode(variants).alias("x"))
     rows = rows.select("id", "fp", *extra, F.col("x.start").alias("start"), F.xxhash64("x.v", "bin", "x.same").alias("bucket"))
+    return links_of(rows, ring, extra, test, hot)
+
+
+def links_of(rows: DataFrame, ring: Ring, extra: tuple[str, ...] = (), test=None, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) that connect all ids of ``rows`` (id, fp, start, bucket, ...) that link within a bucket."""
     crowded = save(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot-buckets")
     if crowded.isEmpty():
         dealt = rows.withColumn("part", F.lit(0).cast("long"))
@@ -216,11 +221,12 @@ def links(members: DataFrame, tau: int = 3, segments: int = 8, bins: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows_held = 0
+        rows_held = bytes_held = 0
         for b in batches:
             held.append(b)
             rows_held += b.num_rows
-            if rows_held < 1 << 16:
+            bytes_held += b.nbytes
+            if rows_held < 1 << 16 and bytes_held < 64 << 20:
                 continue
             table = pa.Table.from_batches(held)
             bucket, part = table.column("bucket").to_numpy(), table.column("part").to_numpy()
@@ -229,7 +235,7 @@ def links(members: DataFrame, tau: int = 3, segments: int = 8, bins: str | None
             if cut:
                 yield bucket_links(table.slice(0, cut).combine_chunks(), ring, test)
             held = table.slice(cut).combine_chunks().to_batches()
-            rows_held = 0
+            rows_held = bytes_held = 0
         if held:
             yield bucket_links(pa.Table.from_batches(held).combine_chunks(), ring, test)
 
@@ -248,62 +254,79 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def cosine_bits(similarity: float, bits: int) -> float:
-    """Expected differing bits, of ``bits``, of two sets of equal size at this Jaccard similarity."""
-    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+#: Bands of keys and least hashes in a key: two sets of Jaccard similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS.
+BANDS, ROWS = 16, 4
+_TIMES = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_STEP = math.log(1.25)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its least hashes over a set of 64-bit hashes, mixed."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _TIMES).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ x)
+    return key
 
 
-def _wide_prints(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Of documents with a row id: (id, fp, wide, size, bins). ``fp`` is over the words, ``wide`` over the shingles, both without repeats."""
-    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-    def remix(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-        x = h ^ salt
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Of (id, text): (id, keys, hashes), the band keys and the set of 32-bit hashes of the shingles, ascending; without texts that have no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            fps, wide, size = [], [], []
-            for x in texts(b.column("text")).cast(pa.binary()).to_pylist():
-                s = np.unique(shingle_hashes(x, width))
-                w = np.unique(shingle_hashes(x, 1))
-                fps.append(majority(w)[0])
-                wide.append(majority(np.stack([s, *(remix(s, k) for k in salts)], axis=1) if len(s) else np.zeros((0, 4), np.uint64)).tobytes())
-                size.append(len(s))
-            bins = [[k, k + 1] for k in (np.log(np.maximum(size, 1)) / -math.log(similarity)).astype(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(size, pa.int64()), pa.array(bins, pa.list_(pa.int64()))], names=["id", "fp", "wide", "size", "bins"])
+            keys, sets, some = [], [], []
+            for k, x in enumerate(texts(b.column("text")).cast(pa.binary()).to_pylist()):
+                s = shingle_hashes(x, width)
+                if len(s):
+                    some.append(k)
+                    sets.append(np.unique(s.astype(np.uint32)).tobytes())
+                    keys.append(least_hashes(mix(s)).view(np.int64))
+            at = pa.array(np.arange(len(some) + 1) * BANDS, pa.int32())
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some, pa.int64())), pa.ListArray.from_arrays(at, flat), pa.array(sets, pa.binary())], names=["id", "keys", "hashes"])
 
-    return docs.select("id", docs[text_col].cast("string").alias("text")).mapInArrow(run, "id long, fp long, wide binary, size long, bins array<bigint>")
+    return docs.mapInArrow(run, "id long, keys array<bigint>, hashes binary")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without those that a link of at least this similarity leads to from a smaller row.
-
-    Fingerprints over single words, compared with the ring, find candidates among documents of like size; 256 bits over
-    shingles of ``width`` words estimate their similarity, allowing one standard error. Of each group the row with
-    the smallest id stays; a null id counts as the largest. Texts without a word are left alone.
-    """
-    most = round(cosine_bits(similarity, 256) + math.sqrt(256 * 0.15 * 0.85))
+def alike(similarity: float):
+    """The test of pairs of rows of a table with ``hashes``: a Jaccard similarity of at least ``similarity``."""
 
     def test(table: pa.Table):
-        column = pa.concat_arrays(table.column("wide").chunks)
-        wide = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 4)
-        size = table.column("size").to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-            return np.flatnonzero(alike & (np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most))
+            out = []
+            for k in np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])).tolist():
+                a, b = sets[i[k]], sets[j[k]]
+                shared = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+                if shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
+                    out.append(k)
+            return np.array(out, np.int64)
 
         return near
 
+    return test
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without those that a link of at least this similarity leads to from a smaller row.
+
+    Least hashes over shingles of ``width`` words make keys under which candidates meet; the sets of shingles, by 32-bit hashes, decide. Sets travel only to keys that several
+    different sets have. Of each group the row with the smallest id stays; a null id counts as the largest. Texts without a word are left alone.
+    """
     rows = save(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    prints = save(_wide_prints(rows.select(F.col("rid").alias("id"), F.col(f"doc.{text_col}").alias("text")), "text", width, similarity).filter("size > 0"), "near-prints")
-    found = components(links(prints, 8, 9, bins="bins", extra=("wide", "size"), test=test))
+    sets = save(_sets(rows.select(F.col("rid").alias("id"), F.col(f"doc.{text_col}").cast("string").alias("text")), width).withColumn("digest", F.xxhash64("hashes")), "near-sets")
+    # Equal sets are one class, named by its smallest row, and only that is compared.
+    classes = save(sets.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-classes")
+    same = sets.select("id", "digest").join(classes.filter("n > 1"), "digest").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    own = sets.join(same, sets.id == same.a, "left_anti")
+    buckets = save(own.select("id", F.explode("keys").alias("bucket")), "near-keys")
+    met = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket", "left_semi")
+    members = save(met.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(sets.select("id", "hashes"), "id"), "near-members")
+    candidates = members.select("id", F.lit(0).cast("long").alias("fp"), "hashes", F.lit(0).alias("start"), F.explode("buckets").alias("bucket"))
+    found = components(links_of(candidates, Ring(0, 1), ("hashes",), alike(similarity)).union(same))
     keys = rows.select("rid", F.col(f"doc.{id_col}").alias("id"))
     grouped = found.join(keys, found.node == keys.rid).select("root", "rid", "id").union(found.select(F.col("root").alias("r")).distinct().join(keys, F.col("r") == keys.rid).select("r", "rid", "id"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("first"))

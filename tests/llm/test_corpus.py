@@ -127,6 +127,29 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [10 * d for d in range(12)]
 
 
+def test_near_copies_with_a_changed_block_leave_one(spark):
+    rng = np.random.default_rng(3)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    rows, near = [], {}
+    for d in range(60):
+        for n in (200, 600):
+            words = [f"w{x}" for x in (rng.zipf(1.3, n) % 20_000).tolist()]
+            for size in (n // 20, n // 14, n // 7):
+                own, at, i = [f"p{len(rows)}", *words], int(rng.integers(0, n - size)), len(rows)
+                other = own[:at] + [f"x{x}" for x in rng.integers(0, 10**6, size).tolist()] + own[at + size :]
+                rows += [(i, " ".join(own)), (i + 1, " ".join(other))]
+                sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (own, other)]
+                near[i + 1] = jaccard(*sets) >= 0.8
+            rows.append((len(rows), f"alone{d} {n}"))
+    # Pairs stand apart: every text gets its own words.
+    rows = [(i, " ".join(f"{(i - (i in near))}.{w}" for w in t.split())) for i, t in rows]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 100 < sum(near.values()) < len(near)
+    missed = [i for i, x in near.items() if x and i in kept]
+    assert len(missed) <= 0.02 * sum(near.values())
+    assert all(i in kept for i, _ in rows if not near.get(i))
+
+
 def test_quality(docs):
     got = {(key(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judged(docs).collect()}
     want = set()
