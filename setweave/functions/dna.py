@@ -68,6 +68,11 @@ def unpack(key: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(F.shiftrightunsigned(key, bits).cast("string"), 10, 4), length, "0"), "0123", "ACGT")
 
 
+def spelled(code_: Column, length: int) -> Column:
+    """The bases of a code of ``code``."""
+    return F.translate(F.lpad(F.conv(code_.cast("string"), 10, 4), length, "0"), "0123", "ACGT")
+
+
 def packed_hex(token: Column, length: int) -> Column:
     return F.lpad(F.lower(F.hex(pack(token, length))), 2 * key_bytes(length), "0")
 
@@ -85,18 +90,25 @@ def mix64(x: Column, bases: int, seed: int = 42) -> Column:
     def plus(a: Column, b: Column) -> Column:
         return (a + b).bitwiseAND(m)
 
-    x = plus(x, F.lit(seed & mask))
-    x = plus(F.bitwise_not(x).bitwiseAND(m), shifted(x, 21))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 24))
-    x = plus(plus(x, shifted(x, 3)), shifted(x, 8))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 14))
-    x = plus(plus(x, shifted(x, 2)), shifted(x, 4))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 28))
-    return plus(x, shifted(x, 31))
+    steps = (
+        lambda x: plus(F.bitwise_not(x).bitwiseAND(m), shifted(x, 21)),
+        lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 24)),
+        lambda x: plus(plus(x, shifted(x, 3)), shifted(x, 8)),
+        lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 14)),
+        lambda x: plus(plus(x, shifted(x, 2)), shifted(x, 4)),
+        lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 28)),
+        lambda x: plus(x, shifted(x, 31)),
+    )
+    # Each step uses its input several times, so it is bound as the variable of a function over one element: the expression grows by steps, not by powers.
+    bound = F.array(plus(x, F.lit(seed & mask)))
+    for step in steps:
+        bound = F.transform(bound, step)
+    return F.element_at(bound, 1)
 
 
 def canonical_code(token: Column) -> Column:
-    return F.least(code(token), code(reverse_complement(upper_bases(token))))
+    """The smaller code of a token and its reverse complement, of which only the text that sorts first is packed."""
+    return code(canonical(upper_bases(token)))
 
 
 def hash_of(token: Column, bases: int, seed: int = 42) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from setweave.functions.kernels import letters
+
 U = np.uint64
 #: Fixed values of the algorithm.
 C1_64, C2_64 = U(0x87C37B91114253D5), U(0x4CF5AD432745937F)
@@ -118,8 +120,11 @@ def murmur_32(rows: np.ndarray, seed: int) -> np.ndarray:
     return _final32(h ^ U(length))
 
 
-def by_length(values: pa.Array, f: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], outputs: int) -> list[np.ndarray]:
+def by_length(values: pa.Array, f: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], outputs: int, bases: int = 0) -> list[np.ndarray]:
     """Apply ``f``, on a matrix of bytes and the places of its rows, to the strings of each length; nulls count as empty."""
+    if pa.types.is_integer(values.type):  # packed tokens of ``bases`` bases, hashed as their letters
+        code = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+        return f(letters(code, bases), np.arange(len(code))) if len(code) else [np.zeros(0, U)] * outputs
     values = pa.concat_arrays([values.cast(pa.binary()).fill_null(b"")])
     n = len(values)
     out = [np.zeros(n, U) for _ in range(outputs)]
@@ -137,23 +142,23 @@ def by_length(values: pa.Array, f: Callable[[np.ndarray, np.ndarray], list[np.nd
     return out
 
 
-def murmur128(token: Column, seed: int = 42) -> Column:
-    """struct<lo, hi> of the x64 variant, as signed longs."""
+def murmur128(token: Column, seed: int = 42, bases: int = 0) -> Column:
+    """struct<lo, hi> of the x64 variant, as signed longs; of packed tokens with their number of bases."""
 
     @F.arrow_udf("struct<lo: bigint, hi: bigint>")
     def run(values: pa.Array) -> pa.Array:
-        lo, hi = by_length(values, lambda rows, _: list(murmur_x64(rows, seed)), 2)
+        lo, hi = by_length(values, lambda rows, _: list(murmur_x64(rows, seed)), 2, bases)
         return pa.StructArray.from_arrays([pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], names=["lo", "hi"])
 
     return run(token)
 
 
-def murmur128_x86(token: Column, seed: int = 0) -> Column:
+def murmur128_x86(token: Column, seed: int = 0, bases: int = 0) -> Column:
     """struct<lo, hi> of the x86 variant: lanes 1 and 2, and lanes 3 and 4, the second of each in the high half."""
 
     @F.arrow_udf("struct<lo: bigint, hi: bigint>")
     def run(values: pa.Array) -> pa.Array:
-        a, b, c, d = by_length(values, lambda rows, _: murmur_x86(rows, seed), 4)
+        a, b, c, d = by_length(values, lambda rows, _: murmur_x86(rows, seed), 4, bases)
         return pa.StructArray.from_arrays([pa.array((a | (b << U(32))).view(np.int64)), pa.array((c | (d << U(32))).view(np.int64))], names=["lo", "hi"])
 
     return run(token)

@@ -45,6 +45,37 @@ def hashes(code: np.ndarray, m: int, seed: int) -> np.ndarray:
     return mix(np.minimum(forward, backward), m, seed)
 
 
+def packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed window of k bases at each place of a stretch, and that of its reverse complement, by doubling; what crosses other than bases is void."""
+    if not 1 <= k <= 31:
+        raise ValueError("a packed window has 1 to 31 bases")
+    n = len(code)
+    unit = (code & 3).astype(U)
+    forward, backward, done = np.zeros(n, U), np.zeros(n, U), 0
+    piece, mirror, size = unit, U(3) - unit, 1
+    while True:
+        if k & size:  # windows of ``done`` bases are followed by one of ``size``
+            m = n - done - size + 1
+            if m <= 0:
+                return np.zeros(0, U), np.zeros(0, U)
+            after, mirrored = piece[done : done + m], mirror[done : done + m]
+            forward, backward = (forward[:m] << U(2 * size)) | after, backward[:m] | (mirrored << U(2 * done))
+            done += size
+        if done == k:
+            return forward, backward
+        m = len(piece) - size
+        if m <= 0:
+            return np.zeros(0, U), np.zeros(0, U)
+        piece, mirror = (piece[:m] << U(2 * size)) | piece[size:], mirror[:m] | (mirror[size:] << U(2 * size))
+        size *= 2
+
+
+def letters(code: np.ndarray, k: int) -> np.ndarray:
+    """Packed windows as rows of k letters."""
+    shifts = U(2) * np.arange(k - 1, -1, -1, dtype=U)
+    return np.frombuffer(b"ACGT", np.uint8)[((code.astype(U)[:, None] >> shifts) & U(3)).astype(np.uint8)]
+
+
 def sliding(values: np.ndarray, w: int, f: np.ufunc, fill) -> np.ndarray:
     """Minimum or maximum of each w consecutive values, in linear time."""
     n = len(values)

@@ -16,28 +16,92 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setweave.functions import dna
-from setweave.functions.kernels import minimizer_positions, syncmer_positions, syncmer_positions_streamed
+from setweave.functions.kernels import codes, minimizer_positions, packed, syncmer_positions, syncmer_positions_streamed
+from setweave.functions.kernels import hashes as mer_hashes
 from setweave.functions.planning import OptionError
 
-CHUNK = 1 << 15
+#: Windows of one row between the sequence and its windows. A substring is found by walking from the row's start, so both steps stay short.
+CHUNK, STRIDE = 1 << 14, 1 << 7
 
 
-def windows(df: DataFrame, k: int, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
-    """All windows of k characters; sequences shorter than k have none."""
+def _beside(df: DataFrame, seq: str) -> list[str]:
+    """The columns that stay beside ``pos`` and ``token``, which replace columns of these names."""
+    return [c for c in df.columns if c not in (seq, "pos", "token")]
+
+
+def _cut(df: DataFrame, rest: list[str], column: str, k: int, step: int) -> DataFrame:
+    """Overlapping parts of ``column`` that have ``step`` windows of k characters each, and where each begins in the sequence."""
+    n = F.length(column)
+    parts = df.select(*rest, "__from", column, F.explode(F.sequence(F.lit(0), n - k, F.lit(step))).alias("__at"))
+    return parts.select(*rest, (F.col("__from") + F.col("__at")).alias("__from"), F.substring(column, F.col("__at") + 1, F.lit(step + k - 1)).alias("__part"))
+
+
+def windows(df: DataFrame, k: int, seq: str = "seq", chunk: int = CHUNK, stride: int = STRIDE, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All windows of k characters, of which ``keep`` may choose; sequences shorter than k, and nulls, have none.
+
+    ``keep`` must hold for every window of a text for which it holds; it is asked of a part first, and of its windows only if it fails there.
+    """
     if not 1 <= k <= 255:
         raise OptionError("k is 1 to 255")
-    rest = [c for c in df.columns if c != seq]
-    n = F.length(seq)
-    parts = df.filter(n >= k).select(*rest, seq, F.explode(F.sequence(F.lit(0), n - k, F.lit(chunk))).alias("__from"))
-    parts = parts.select(*rest, "__from", F.substring(seq, F.col("__from") + 1, F.lit(chunk + k - 1)).alias("__part"))
-    at = F.explode(F.sequence(F.lit(0), F.length("__part") - k)).alias("__at")
-    cut = parts.select(*rest, "__from", "__part", at)
-    return cut.select(*rest, (F.col("__from") + F.col("__at")).cast("long").alias("pos"), F.substring("__part", F.col("__at") + 1, F.lit(k)).alias("token"))
+    rest = _beside(df, seq)
+    whole = df.filter(F.length(seq) >= k).select(*rest, F.lit(0).alias("__from"), F.col(seq).alias("__seq"))
+    parts = _cut(_cut(whole, rest, "__seq", k, chunk), rest, "__part", k, stride)
+    good = F.lit(True) if keep is None else keep(F.col("__part"))
+    cut = parts.select(*rest, "__from", "__part", good.alias("__good"), F.explode(F.sequence(F.lit(0), F.length("__part") - k)).alias("__at"))
+    found = cut.select(*rest, (F.col("__from") + F.col("__at")).cast("long").alias("pos"), F.substring("__part", F.col("__at") + 1, F.lit(k)).alias("token"), "__good")
+    if keep is not None:
+        found = found.filter(F.col("__good") | keep(F.col("token")))
+    return found.drop("__good")
 
 
 def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Every k consecutive bases; a window with anything else is none. Duplicates and case are kept."""
-    return windows(df, k, seq).filter(dna.is_genomic(F.col("token")))
+    return windows(df, k, seq, keep=dna.is_genomic)
+
+
+def packed_kmers(df: DataFrame, k: int, by: tuple[str, ...] = (), seq: str = "seq", canonical: bool = False) -> DataFrame:
+    """(by..., token, cnt): k-mers of up to 31 bases as packed longs, and how often each is in one batch of rows of one group.
+
+    A token may come in many rows, so counts are to be summed; set operations take the table as it is. Case is folded, U counts as T; with
+    ``canonical`` a k-mer and its reverse complement are one. ``dna.spelled`` gives the letters. A null sequence, or one shorter than k, has none.
+    """
+
+    def counted(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raws = part.column("__seq").cast(pa.binary()).fill_null(b"").to_pylist()
+        whole = codes(b"\n".join(raws))
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        dictionaries, group = [], np.zeros(part.num_rows, np.int64)
+        for c in by:
+            coded = part.column(c).dictionary_encode("encode")
+            dictionaries.append(coded.dictionary)
+            group = group * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        for begin in range(0, len(whole) - k + 1, 1 << 21):  # a long sequence, too, is taken in stretches
+            code = whole[begin : begin + (1 << 21) + k - 1]
+            forward, backward = packed(code, k)
+            bad = np.concatenate(([0], np.cumsum(code > 3)))
+            at = np.flatnonzero(bad[k:] == bad[: len(bad) - k])
+            token = np.minimum(forward, backward)[at] if canonical else forward[at]
+            own = group[np.searchsorted(ends, at + begin, side="right")]
+            order = np.lexsort((token, own)) if by else np.argsort(token)
+            token, own = token[order], own[order]
+            first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])))) if len(token) else np.zeros(0, np.int64)
+            values, left = [], own[first]
+            for dictionary in reversed(dictionaries):
+                values.append(dictionary.take(pa.array(left % len(dictionary))))
+                left = left // len(dictionary)
+            yield pa.RecordBatch.from_arrays([*reversed(values), pa.array(token[first].view(np.int64)), pa.array(np.diff(np.append(first, len(token))))], names=[*by, "token", "cnt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column("__seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+            begin = 0
+            while begin < b.num_rows:
+                end = max(begin + 1, int(size.searchsorted((size[begin - 1] if begin else 0) + (1 << 21), side="right")))
+                yield from counted(b.slice(begin, end - begin))
+                begin = end
+
+    shape = T.StructType([*(df.schema[c] for c in by), T.StructField("token", T.LongType()), T.StructField("cnt", T.LongType())])
+    return df.select(*by, F.col(seq).alias("__seq")).mapInArrow(run, shape)
 
 
 def kmers_or_self(df: DataFrame, k: int, token: str = "token") -> DataFrame:
@@ -49,7 +113,7 @@ def kmers_or_self(df: DataFrame, k: int, token: str = "token") -> DataFrame:
 
 def _positional(df: DataFrame, seq: str, positions: Callable[[bytes], np.ndarray], cut: Callable[[bytes, np.ndarray], tuple[list[int], list[bytes]]]) -> DataFrame:
     """Tokens that depend on positions which a numpy kernel finds in each sequence."""
-    rest = [c for c in df.columns if c != seq]
+    rest = _beside(df, seq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,6 +209,19 @@ def syncmer_positions_of(df: DataFrame, k: int, z: int, seed: int = 42, seq: str
     return syncmers(df.select(key, seq), k, z, seed=seed, seq=seq).groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def _stays_syncmer(token: Column, k: int, z: int, seed: int) -> Column:
+    """``dna.stays_syncmer`` of tokens of k bases, a batch at a time; false for tokens with other than bases."""
+
+    @F.arrow_udf("boolean")
+    def run(values: pa.Array) -> pa.Array:
+        code = codes(b"".join(values.cast(pa.binary()).to_pylist())).reshape(-1, k)
+        h = np.concatenate((mer_hashes(code.ravel(), z, seed), np.zeros(z - 1, np.uint64))).reshape(-1, k)[:, : k - z + 1] if len(code) else np.zeros((0, 1))
+        at = np.argmin(h, axis=1)
+        return pa.array(((at == 0) | (at == k - z)) & (code < 4).all(axis=1))
+
+    return run(token)
+
+
 def syncmer_filter(tokens: DataFrame, k: int, z: int, seed: int = 42, strict: bool = False, hasher: Callable[[Column], Column] | None = None) -> DataFrame:
     """The tokens, k-mers each, whose leftmost smallest z-mer is first or last. ``hasher`` replaces the hash of z-mers."""
     token = F.col("token")
@@ -152,7 +229,7 @@ def syncmer_filter(tokens: DataFrame, k: int, z: int, seed: int = 42, strict: bo
     if strict:
         kept = kept.filter(dna.is_strict(token))
     if hasher is None:
-        return kept.filter(dna.stays_syncmer(token, k, z, seed))
+        return kept.filter(_stays_syncmer(token, k, z, seed))
     found = F.transform(F.sequence(F.lit(1), F.lit(k - z + 1)), lambda i: hasher(token.substr(i, F.lit(z))))
     at = F.array_position(found, F.array_min(found))
     return kept.filter((at == 1) | (at == k - z + 1))
@@ -170,13 +247,13 @@ def check_length(tokens: DataFrame, longest: int) -> DataFrame:
     return tokens.filter(ok | F.assert_true(ok, F.concat(F.lit("token longer than the payload: "), F.col("token"))).isNull())
 
 
-def hash_sample(tokens: DataFrame, rate: int, seed: int = 0) -> DataFrame:
-    """Tokens whose hash is 0 modulo ``rate``: the same choice in every dataset."""
+def hash_sample(tokens: DataFrame, rate: int, seed: int = 0, bases: int = 0) -> DataFrame:
+    """Tokens whose hash is 0 modulo ``rate``: the same choice in every dataset. Packed tokens are hashed as their letters, of which there are ``bases``."""
     from setweave.functions.hashing import murmur128_x86, unsigned_modulo
 
     if rate < 1:
         raise OptionError("the rate is at least 1")
-    return tokens.filter(unsigned_modulo(murmur128_x86(F.col("token"), seed)["lo"], rate) == 0)
+    return tokens.filter(unsigned_modulo(murmur128_x86(F.col("token"), seed, bases)["lo"], rate) == 0)
 
 
 def unpack_extended(tokens: DataFrame, k: int, by: list[str]) -> DataFrame:

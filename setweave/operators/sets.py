@@ -21,8 +21,15 @@ def canonical_set(tokens: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def token_counts(tokens: DataFrame, by: tuple[str, ...] = (), canonical: bool = False) -> DataFrame:
+    """(by..., token, cnt); tokens that come with counts of their own (``packed_kmers``) have these summed."""
     token = dna.canonical(F.col("token")) if canonical else F.col("token")
-    return tokens.select(*by, token.alias("token")).groupBy(*by, "token").agg(F.count("*").alias("cnt"))
+    many = F.sum("cnt") if "cnt" in tokens.columns else F.count("*")
+    return tokens.withColumn("token", token).groupBy(*by, "token").agg(many.alias("cnt"))
+
+
+def spelled(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of packed tokens with their letters instead."""
+    return rows.withColumn("token", dna.spelled(F.col("token"), k))
 
 
 def count_range(counts: DataFrame, least: int, most: int) -> DataFrame:
@@ -74,13 +81,20 @@ def sides(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("side", F.lit("i")).unionByName(b.withColumn("side", F.lit("j")))
 
 
-def _is(side: str, value: Column | None = None) -> Column:
-    return F.when(F.col("side") == side, F.lit(1) if value is None else value)
+def _in(both: DataFrame, side: str) -> Column:
+    """Whether a row is in a side: rows name their side in ``side``, or have a flag for each in ``in_i`` and ``in_j``, so that one row may stand for both."""
+    return F.col("side") == side if "side" in both.columns else F.col(f"in_{side}")
 
 
 def membership(both: DataFrame) -> DataFrame:
-    """(token, in_i, in_j): whether each token is in a side."""
-    return both.groupBy("token").agg(F.count(_is("i")).alias("n_i"), F.count(_is("j")).alias("n_j")).select("token", (F.col("n_i") > 0).alias("in_i"), (F.col("n_j") > 0).alias("in_j"))
+    """(token, in_i, in_j): whether each token is in a side. Repeats do no harm, so nothing is made distinct before."""
+    return both.groupBy("token").agg(*(F.coalesce(F.max(_in(both, s)), F.lit(False)).alias(f"in_{s}") for s in "ij"))
+
+
+def side_counts(both: DataFrame) -> DataFrame:
+    """(token, ci, cj): how often each token is in each side, from one grouping."""
+    n = F.col("cnt") if "cnt" in both.columns else F.lit(1)
+    return both.groupBy("token").agg(*(F.sum(F.when(_in(both, s), n).otherwise(0)).alias(f"c{s}") for s in "ij"))
 
 
 def symmetric_difference(both: DataFrame) -> DataFrame:
@@ -106,9 +120,13 @@ def set_summary(both: DataFrame) -> DataFrame:
 
 
 def count_difference(a: DataFrame, b: DataFrame, symmetric: bool = False) -> DataFrame:
-    """(side, token, delta) of count tables: what side i has more (or, with ``symmetric``, also what j has), a token missing on the other side whole."""
-    both = sides(a.select("token", "cnt"), b.select("token", "cnt"))
-    sums = both.groupBy("token").agg(F.coalesce(F.sum(_is("i", F.col("cnt"))), F.lit(0)).alias("ci"), F.coalesce(F.sum(_is("j", F.col("cnt"))), F.lit(0)).alias("cj"))
+    """``count_difference_of`` two count tables."""
+    return count_difference_of(side_counts(sides(a.select("token", "cnt"), b.select("token", "cnt"))), symmetric)
+
+
+def count_difference_of(counts: DataFrame, symmetric: bool = False) -> DataFrame:
+    """(side, token, delta) of ``side_counts``: what side i has more (or, with ``symmetric``, also what j has), a token missing on the other side whole."""
+    sums = counts.filter((F.col("ci") > 0) | (F.col("cj") > 0))
     delta = F.col("ci") - F.col("cj")
     changed = sums.filter((delta != 0) & (F.lit(symmetric) | (F.col("ci") > 0)))
     present = F.array_compact(F.array(
@@ -119,9 +137,13 @@ def count_difference(a: DataFrame, b: DataFrame, symmetric: bool = False) -> Dat
 
 
 def weighted_summary(a: DataFrame, b: DataFrame, parity: bool = False) -> DataFrame:
-    """(j, wj, symdiff) of two count tables. ``parity`` counts one shared token too many, as a merge that starts on a dummy does."""
-    both = sides(a.select("token", "cnt"), b.select("token", "cnt"))
-    sums = both.groupBy("token").agg(F.coalesce(F.sum(_is("i", F.col("cnt"))), F.lit(0)).alias("ci"), F.coalesce(F.sum(_is("j", F.col("cnt"))), F.lit(0)).alias("cj"))
+    """``weighted_summary_of`` two count tables."""
+    return weighted_summary_of(side_counts(sides(a.select("token", "cnt"), b.select("token", "cnt"))), parity)
+
+
+def weighted_summary_of(counts: DataFrame, parity: bool = False) -> DataFrame:
+    """(j, wj, symdiff) of ``side_counts``. ``parity`` counts one shared token too many, as a merge that starts on a dummy does."""
+    sums = counts.filter((F.col("ci") > 0) | (F.col("cj") > 0))
     shared = F.count_if((F.col("ci") > 0) & (F.col("cj") > 0))
     extra = 1 if parity else 0
     t = sums.agg(shared.alias("s"), F.count("*").alias("n"), F.sum(F.least("ci", "cj")).alias("lo"), F.sum(F.greatest("ci", "cj")).alias("hi"))
@@ -135,13 +157,14 @@ def weighted_summary(a: DataFrame, b: DataFrame, parity: bool = False) -> DataFr
 def pairwise(sets: DataFrame, key: str, upper: bool = True) -> DataFrame:
     """(key_i, key_j, size_i, size_j, shared, jaccard) of all pairs of groups, for a moderate number of groups.
 
-    Tokens are grouped once; a token contributes its pairs of groups, which are counted with partial aggregation.
+    Tokens are grouped once; different sets of groups, with how many tokens have each, are few, and give all sizes and shared numbers. A null
+    group is none.
     """
-    distinct = sets.select(key, "token").distinct()
-    sizes = distinct.groupBy(key).agg(F.count("*").alias("size"))
-    groups = distinct.groupBy("token").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    pairs = groups.filter(F.size("keys") > 1).groupBy("keys").agg(F.count("*").alias("n"))
-    first = pairs.select("n", "keys", F.posexplode("keys").alias("at", f"{key}_i"))
+    # Dealt out by token, rows need no second shuffle for what is grouped by token.
+    groups = sets.select(key, "token").repartition("token").groupBy("token").agg(F.array_sort(F.collect_set(key)).alias("keys"))
+    kinds = groups.groupBy("keys").agg(F.count("*").alias("n"))
+    sizes = kinds.select("n", F.explode("keys").alias(key)).groupBy(key).agg(F.sum("n").alias("size"))
+    first = kinds.filter(F.size("keys") > 1).select("n", "keys", F.posexplode("keys").alias("at", f"{key}_i"))
     later = first.select("n", f"{key}_i", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias(f"{key}_j"))
     shared = later.groupBy(f"{key}_i", f"{key}_j").agg(F.sum("n").alias("shared"))
     i, j = (sizes.select(F.col(key).alias(f"{key}_{s}"), F.col("size").alias(f"size_{s}")) for s in "ij")

@@ -43,24 +43,58 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", "source", dna.dna_of(F.col("text")).alias("seq"))
 
 
-def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(side, doc_id, source, seq)."""
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(in_i, in_j, doc_id, source, seq): each document once, with the sides it is in."""
     rows, labels = bases(spark, sf_dir), table(spark, sf_dir, "labels")
     marks = labels.groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 0).alias("low"))
     marked = rows.join(marks, "doc_id", "left")
     in_i, in_j = ~F.coalesce("toxic", F.lit(False)), ~F.coalesce("low", F.lit(False))
-    of = F.array_compact(F.array(F.when(in_i, F.lit("i")), F.when(in_j, F.lit("j"))))
-    return marked.select(F.explode(of).alias("side"), "doc_id", "source", "seq")
+    return marked.select(in_i.alias("in_i"), in_j.alias("in_j"), "doc_id", "source", "seq").filter("in_i or in_j")
+
+
+def _by_side(rows: DataFrame) -> DataFrame:
+    """A row for each side that a row is in."""
+    of = F.array_compact(F.array(F.when(F.col("in_i"), F.lit("i")), F.when(F.col("in_j"), F.lit("j"))))
+    return rows.withColumn("side", F.explode(of)).drop("in_i", "in_j")
+
+
+def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(side, doc_id, source, seq)."""
+    return _by_side(flagged(spark, sf_dir)).select("side", "doc_id", "source", "seq")
+
+
+def packed(spark: SparkSession, sf_dir: str, canonical: bool = False) -> DataFrame:
+    """(token, cnt) of all documents."""
+    return fragments.packed_kmers(bases(spark, sf_dir), K, canonical=canonical)
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.packed_kmers(bases(spark, sf_dir), K, ("source",))
+
+
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(in_i, in_j, token, cnt)."""
+    return fragments.packed_kmers(flagged(spark, sf_dir), K, ("in_i", "in_j"))
 
 
 def sided_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments.kmers(sided(spark, sf_dir), K).select("side", "token").distinct()
+    """(side, token), each once, from one grouping of both sides."""
+    return _by_side(sets.membership(both_sides(spark, sf_dir))).select("side", "token")
 
 
 def one_side(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return sided_sets(spark, sf_dir).filter(F.col("side") == side).select("token")
 
 
+def sided_cells(spark: SparkSession, sf_dir: str, spec: IbltSpec) -> DataFrame:
+    """The cells of both sides' tables, told apart by ``side``."""
+    return iblt.build(sided_sets(spark, sf_dir), spec, by=("side",), distinct=False)
+
+
+def _of(cells: DataFrame, side: str) -> DataFrame:
+    return cells.filter(F.col("side") == side).drop("side")
+
+
 KMERS = f"WITH {DNA}, {sql.windows('w', K)} "
 SIDED = f"WITH {DNA}, {SIDES}, {sql.windows('w', K, 'sided', 'side, doc_id, source')}, t AS (SELECT DISTINCT side, token FROM w) "
 MEMBERS = SIDED + ", m AS (SELECT token, bool_or(side = 'i') AS in_i, bool_or(side = 'j') AS in_j FROM t GROUP BY token) "
@@ -153,14 +187,14 @@ _JOINS = " ".join(f"JOIN z m{i} ON m{i}.token = substr(s.token, {i + 1}, {M})" f
 zd AS (SELECT DISTINCT substr(token, i, {M}) AS token FROM s, range(1, {K - M + 2}) AS r(i)), zc AS (SELECT token, least({sql.code('token', M)}, {sql.code(sql.revcomp('token'), M)})::BIGINT AS c FROM zd),
 {sql.mix_steps('z', 'zc', 'c', M, 'token')}, j AS (SELECT s.token, {_MERS} FROM s {_JOINS}) SELECT token FROM j WHERE {_leftmost(K - M + 1)}""")
 def table_syncmer_filter(spark, sf_dir):
-    tokens = sets.canonical_set(fragments.kmers(bases(spark, sf_dir), K))
+    tokens = sets.spelled(packed(spark, sf_dir, canonical=True).select("token").distinct(), K)
     return fragments.syncmer_filter(tokens, K, M)
 
 
 @query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), {sql.murmur_x86('h', 'd', 'token', K, 0, 'token')}
 SELECT token FROM h WHERE (h1::UHUGEINT + h2::UHUGEINT * 4294967296::UHUGEINT) % 50::UHUGEINT = 0""")
 def hash_sample(spark, sf_dir):
-    return fragments.hash_sample(sets.token_set(fragments.kmers(bases(spark, sf_dir), K)), 50)
+    return sets.spelled(fragments.hash_sample(sets.token_set(packed(spark, sf_dir)), 50, bases=K), K)
 
 
 @query(f"""WITH {DNA} SELECT doc_id, regexp_matches(seq, '^[ACGTUacgtu]+$') AS genomic, length(regexp_extract(seq, '^[ACGTU]*')) AS prefix, length(seq) AS n, len(regexp_extract_all(seq, '[ACGT]+')) AS runs FROM dna""")
@@ -174,69 +208,64 @@ def base_runs(spark, sf_dir):
 
 @query(KMERS + "SELECT count(DISTINCT token) AS l0, count(*) AS total FROM w")
 def kmer_set_size(spark, sf_dir):
-    return sets.token_counts(fragments.kmers(bases(spark, sf_dir), K)).agg(F.count("*").alias("l0"), F.sum("cnt").alias("total"))
+    return sets.token_counts(packed(spark, sf_dir)).agg(F.count("*").alias("l0"), F.sum("cnt").alias("total"))
 
 
 @query(KMERS + f"SELECT source, count(DISTINCT {sql.canonical('token')}) AS n, min({sql.canonical('token')}) AS first_token FROM w GROUP BY source")
 def canonical_sets(spark, sf_dir):
-    return sets.canonical_set(fragments.kmers(bases(spark, sf_dir), K), ("source",)).groupBy("source").agg(F.count("*").alias("n"), F.min("token").alias("first_token"))
+    found = fragments.packed_kmers(bases(spark, sf_dir), K, ("source",), canonical=True).select("source", "token").distinct()
+    return found.groupBy("source").agg(F.count("*").alias("n"), dna.spelled(F.min("token"), K).alias("first_token"))
 
 
 @query(COUNTS + "SELECT token, cnt FROM c WHERE cnt BETWEEN 10 AND 1000000")
 def kmer_count_range(spark, sf_dir):
-    return sets.count_range(sets.token_counts(fragments.kmers(bases(spark, sf_dir), K)), 10, 1_000_000)
+    return sets.spelled(sets.count_range(sets.token_counts(packed(spark, sf_dir)), 10, 1_000_000), K)
 
 
 @query(COUNTS + "SELECT token, cnt FROM c WHERE cnt <> 1")
 def without_singletons(spark, sf_dir):
-    return sets.without_frequency(sets.token_counts(fragments.kmers(bases(spark, sf_dir), K)), 1)
+    return sets.spelled(sets.without_frequency(sets.token_counts(packed(spark, sf_dir)), 1), K)
 
 
 @query(f"WITH {DNA}, {sql.windows('w', K)}, c AS (SELECT {sql.canonical('token')} AS token, count(*) AS cnt FROM w GROUP BY 1) SELECT cnt, count(*) AS tokens FROM c GROUP BY cnt")
 def spectrum(spark, sf_dir):
-    return sets.spectrum(sets.token_counts(fragments.kmers(bases(spark, sf_dir), K), canonical=True))
+    return sets.spectrum(sets.token_counts(packed(spark, sf_dir, canonical=True)))
 
 
 @query(COUNTS + """, s AS (SELECT cnt, count(*) AS tokens FROM c GROUP BY cnt), a AS (SELECT sum(tokens) AS n, max(tokens) AS top FROM s)
 SELECT a.n::BIGINT AS l0, sum(tokens * cnt)::BIGINT AS l1, min(cnt) FILTER (tokens = top) AS mode, max(tokens) AS mode_tokens, round(-sum(tokens / n * log2(tokens / n)), 6) AS entropy,
  round((a.n - top) / top, 6) AS eps_hint FROM s, a GROUP BY a.n, top""")
 def spectrum_stats(spark, sf_dir):
-    found = sets.spectrum_stats(sets.spectrum(sets.token_counts(fragments.kmers(bases(spark, sf_dir), K))))
+    found = sets.spectrum_stats(sets.spectrum(sets.token_counts(packed(spark, sf_dir))))
     return found.select("l0", "l1", "mode", "mode_tokens", F.round("entropy", 6).alias("entropy"), F.round("eps_hint", 6).alias("eps_hint"))
 
 
 @query(MEMBERS + "SELECT CASE WHEN in_i THEN 'i' ELSE 'j' END AS side, token FROM m WHERE in_i <> in_j")
 def symmetric_difference(spark, sf_dir):
-    return sets.symmetric_difference(sided_sets(spark, sf_dir))
+    return sets.spelled(sets.symmetric_difference(both_sides(spark, sf_dir)), K)
 
 
 @query(MEMBERS + """SELECT count(*) FILTER (in_i) AS size_i, count(*) FILTER (in_j) AS size_j, count(*) FILTER (in_i AND in_j) AS shared, count(*) AS all_tokens,
  count(*) FILTER (in_i AND NOT in_j) AS only_i, count(*) FILTER (in_j AND NOT in_i) AS only_j, round(count(*) FILTER (in_i AND in_j) / count(*), 9) AS jaccard,
  round(count(*) FILTER (in_i AND in_j) / count(*) FILTER (in_i), 9) AS c_ij, round(count(*) FILTER (in_i AND in_j) / count(*) FILTER (in_j), 9) AS c_ji FROM m""")
 def symdiff_summary(spark, sf_dir):
-    out = sets.set_summary(sided_sets(spark, sf_dir)).drop("i_in_j")
+    out = sets.set_summary(both_sides(spark, sf_dir)).drop("i_in_j")
     return out.select(*(F.round(c, 9).alias(c) if c in ("jaccard", "c_ij", "c_ji") else c for c in out.columns))
 
 
 @query(SIDE_COUNTS + "SELECT 'i' AS side, token, ci - cj AS delta FROM c WHERE ci > 0 AND ci <> cj")
 def count_difference(spark, sf_dir):
-    tokens = fragments.kmers(sided(spark, sf_dir), K)
-    a, b = (sets.token_counts(tokens.filter(F.col("side") == s)) for s in "ij")
-    return sets.count_difference(a, b)
+    return sets.spelled(sets.count_difference_of(sets.side_counts(both_sides(spark, sf_dir))), K)
 
 
 @query(SIDE_COUNTS + "SELECT 'i' AS side, token, ci - cj AS delta FROM c WHERE ci > 0 AND ci <> cj UNION ALL SELECT 'j', token, cj - ci FROM c WHERE cj > 0 AND ci <> cj")
 def count_difference_symmetric(spark, sf_dir):
-    tokens = fragments.kmers(sided(spark, sf_dir), K)
-    a, b = (sets.token_counts(tokens.filter(F.col("side") == s)) for s in "ij")
-    return sets.count_difference(a, b, symmetric=True)
+    return sets.spelled(sets.count_difference_of(sets.side_counts(both_sides(spark, sf_dir)), symmetric=True), K)
 
 
 @query(SIDE_COUNTS + "SELECT round(count(*) FILTER (ci > 0 AND cj > 0) / count(*), 9) AS j, round(sum(least(ci, cj)) / sum(greatest(ci, cj)), 9) AS wj, count(*) FILTER (ci = 0 OR cj = 0) AS symdiff FROM c")
 def weighted_jaccard(spark, sf_dir):
-    tokens = fragments.kmers(sided(spark, sf_dir), K)
-    a, b = (sets.token_counts(tokens.filter(F.col("side") == s)) for s in "ij")
-    return sets.weighted_summary(a, b).select(F.round("j", 9).alias("j"), F.round("wj", 9).alias("wj"), "symdiff")
+    return sets.weighted_summary_of(sets.side_counts(both_sides(spark, sf_dir))).select(F.round("j", 9).alias("j"), F.round("wj", 9).alias("wj"), "symdiff")
 
 
 PAIRS = KMERS + """, t AS (SELECT DISTINCT source, token FROM w), s AS (SELECT source, count(*) AS size FROM t GROUP BY source),
@@ -246,13 +275,13 @@ p AS (SELECT i.source AS source_i, j.source AS source_j, i.size AS size_i, j.siz
 
 @query(PAIRS + "SELECT *, round(shared / (size_i + size_j - shared), 9) AS jaccard FROM p")
 def pairwise_jaccard(spark, sf_dir):
-    found = sets.pairwise(fragments.kmers(bases(spark, sf_dir), K), "source")
+    found = sets.pairwise(by_source(spark, sf_dir), "source")
     return found.withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(PAIRS + "SELECT max(size_i + size_j - 2 * shared) AS capacity FROM p")
 def pairwise_capacity(spark, sf_dir):
-    return sets.capacity(sets.pairwise(fragments.kmers(bases(spark, sf_dir), K), "source"))
+    return sets.capacity(sets.pairwise(by_source(spark, sf_dir), "source"))
 
 
 @query(COUNTS + "SELECT doc_id, sum(c.cnt)::BIGINT AS counter_sum, max(c.cnt) AS counter_max FROM w JOIN c USING (token) GROUP BY doc_id")
@@ -266,11 +295,20 @@ def counters_of_reads(spark, sf_dir):
 # Functions on tokens
 
 
+@query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), e AS (SELECT token, {sql.code('token', K)}::BIGINT AS code FROM d), {sql.mix_steps('x', 'e', 'code', K, 'token, code')}
+SELECT count(*) AS n, sum(code)::BIGINT AS code_sum, bit_xor(code * 4) AS key_xor, bit_xor(h) AS mix_xor, min({sql.revcomp('token')}) AS first_revcomp, count(DISTINCT h) AS hashes FROM x""")
+def token_functions(spark, sf_dir):
+    t = F.col("token")
+    rows = sets.spelled(sets.token_set(packed(spark, sf_dir)), K).select("token", dna.code(t).alias("code"), dna.pack(t, K).alias("key"), dna.mix64(dna.code(t), K).alias("h"))
+    back = rows.filter(dna.unpack(F.col("key"), K) == t)
+    return back.agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"), F.bit_xor("key").alias("key_xor"), F.bit_xor("h").alias("mix_xor"), F.min(dna.reverse_complement(t)).alias("first_revcomp"), F.countDistinct("h").alias("hashes"))
+
+
 @query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), {sql.murmur_x64('h', 'd', sql.bytes_of('token', 1, 8), sql.bytes_of('token', 9, 7), K, '42', 'token')}
 SELECT count(*) AS n, bit_xor((lo % 9223372036854775808::UHUGEINT)::BIGINT) AS low_xor FROM h""")
 def murmur_128(spark, sf_dir):
-    tokens = sets.token_set(fragments.kmers(bases(spark, sf_dir), K))
-    h = hashing.murmur128(F.col("token"))["lo"].bitwiseAND(F.lit((1 << 63) - 1))
+    tokens = sets.token_set(packed(spark, sf_dir))
+    h = hashing.murmur128(F.col("token"), bases=K)["lo"].bitwiseAND(F.lit((1 << 63) - 1))
     return tokens.select(h.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("low_xor"))
 
 
@@ -294,15 +332,14 @@ def iblt_count(spark, sf_dir):
 @query(_A + "rest AS (SELECT token FROM ta EXCEPT SELECT token FROM tb), " + sql.cells("a", "rest", K, SPEC.r, SPEC.chunk) + " SELECT * FROM a")
 def iblt_delete(spark, sf_dir):
     """Cells of i after what it shares with j was deleted."""
-    both = sided_sets(spark, sf_dir)
-    shared = sets.membership(both).filter("in_i and in_j").select("token")
-    return iblt.delete(iblt.build(both.filter("side = 'i'").select("token"), SPEC, distinct=False), shared, SPEC)
+    both = sets.membership(both_sides(spark, sf_dir))
+    return iblt.delete(iblt.build(both.filter("in_i").select("token"), SPEC, distinct=False), both.filter("in_i and in_j").select("token"), SPEC)
 
 
 @query(BOTH + "SELECT * FROM x")
 def iblt_difference(spark, sf_dir):
-    a, b = (iblt.build(one_side(spark, sf_dir, s), SPEC, distinct=False) for s in "ij")
-    return iblt.difference(a, b, SPEC, SPEC)
+    cells = sided_cells(spark, sf_dir, SPEC)
+    return iblt.difference(_of(cells, "i"), _of(cells, "j"), SPEC, SPEC)
 
 
 @query(CELLS + f"SELECT row, col, counter, lpad(lower(hex(key)), {2 * SPEC.wsize}, '0') AS key_hex FROM a")
@@ -317,18 +354,21 @@ def iblt_row_print(spark, sf_dir):
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, IbltSpec]:
-    """Both sides' tables, sized by the exact difference."""
-    both = checkpointed(sided_sets(spark, sf_dir))
-    n = sets.membership(both).filter("in_i != in_j").count()
-    spec = IbltSpec(K, max(1, n), epsilon=0.6)
-    a, b = (iblt.build(both.filter(F.col("side") == s).select("token"), spec, distinct=False) for s in "ij")
-    return a, b, spec
+    """Both sides' tables, sized by an estimate of their difference and doubled until it can be listed."""
+    both = checkpointed(sets.membership(both_sides(spark, sf_dir)))
+    n = iblt.estimated_difference(both, bases=K)
+    while True:
+        spec = IbltSpec(K, n, epsilon=0.6)
+        cells = checkpointed(iblt.build(_by_side(both).select("side", "token"), spec, by=("side",), distinct=False))
+        if iblt.fits(iblt.difference(_of(cells, "i"), _of(cells, "j"), spec), spec):
+            return _of(cells, "i"), _of(cells, "j"), spec
+        n *= 2
 
 
 @query(ORACLES["symmetric_difference"])
 def iblt_list(spark, sf_dir):
     a, b, spec = _sized(spark, sf_dir)
-    return iblt.list_keys(iblt.difference(a, b, spec), spec).select("side", "token")
+    return iblt.list_any(iblt.difference(a, b, spec), spec).select("side", "token")
 
 
 @query(MEMBERS + """SELECT count(*) FILTER (in_i) AS n_i, count(*) FILTER (in_j) AS n_j, count(*) FILTER (in_i AND NOT in_j) AS only_i, count(*) FILTER (in_j AND NOT in_i) AS only_j,
@@ -356,7 +396,7 @@ SKETCH = KMERS + f", d AS (SELECT DISTINCT source, token FROM w), {_H}, b AS (SE
 
 @query(SKETCH + "SELECT source, rank::INT AS rank, lpad(lower(hex(v::UBIGINT)), 16, '0') AS h FROM k")
 def minhash_sketch(spark, sf_dir):
-    found = minhash.sketch(fragments.kmers(bases(spark, sf_dir), K), S, by=("source",))
+    found = minhash.sketch(by_source(spark, sf_dir), S, by=("source",), bases=K)
     return found.select("source", "rank", F.lower(F.hex("h")).alias("h"))
 
 
@@ -366,21 +406,28 @@ m AS (SELECT source_i, source_j, most, v, count(*) AS c FROM u JOIN k ON k.sourc
 r AS (SELECT *, row_number() OVER (PARTITION BY source_i, source_j ORDER BY v) AS rank FROM m QUALIFY rank <= most)
 SELECT source_i, source_j, count(*) AS seen, count(*) FILTER (c = 2) AS shared, round(count(*) FILTER (c = 2) / count(*), 9) AS jaccard FROM r GROUP BY ALL""")
 def minhash_pairs(spark, sf_dir):
-    found = minhash.pairs(minhash.sketch(fragments.kmers(bases(spark, sf_dir), K), S, by=("source",)), S, "source")
+    found = minhash.pairs(minhash.sketch(by_source(spark, sf_dir), S, by=("source",), bases=K), S, "source")
     return found.select("source_i", "source_j", "seen", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 9).alias("jaccard"))
 
 
+@query()
+def weighted_samples(spark, sf_dir):
+    counts = sets.spelled(sets.token_counts(by_source(spark, sf_dir), ("source",)), K)
+    return minhash.weighted_samples(counts, 8, by=("source",))
+
+
 @query()
 def weighted_sketch(spark, sf_dir):
-    counts = sets.token_counts(fragments.kmers(bases(spark, sf_dir), K), ("source",))
+    counts = sets.spelled(sets.token_counts(by_source(spark, sf_dir), ("source",)), K)
     return minhash.weighted_sketch(counts, S, ("source",))
 
 
 @query()
 def weighted_compare(spark, sf_dir):
-    tokens = fragments.kmers(sided(spark, sf_dir), K)
-    a, b = (minhash.weighted_sketch(sets.token_counts(tokens.filter(F.col("side") == s)), S) for s in "ij")
-    return minhash.weighted_compare(a, b, S)
+    counts = sets.spelled(sets.side_counts(both_sides(spark, sf_dir)), K)
+    of = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"c{s}").alias("cnt")) for s in "ij"))).alias("x")
+    found = checkpointed(minhash.weighted_sketch(counts.select("token", of).select("x.side", "token", "x.cnt").filter("cnt > 0"), S, ("side",)))
+    return minhash.weighted_compare(_of(found, "i"), _of(found, "j"), S)
 
 
 @query(f"""WITH {DNA}, {SIDES}, q AS (SELECT side, doc_id, min(doc_id) OVER (PARTITION BY side, seq) AS first_id, seq FROM sided)
@@ -401,7 +448,7 @@ RESULTS = PAIRS + ", res AS (SELECT source_i AS reference, source_j AS query, sh
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sets.pairwise(fragments.kmers(bases(spark, sf_dir), K), "source")
+    p = sets.pairwise(by_source(spark, sf_dir), "source")
     return p.select(F.col("source_i").alias("reference"), F.col("source_j").alias("query"), F.col("jaccard").alias("exj"), (F.col("size_i") + F.col("size_j") - 2 * F.col("shared")).alias("s"))
 
 
@@ -454,12 +501,26 @@ def fasta_records(spark, sf_dir):
     return writers.fasta_lines(rows, "seq", "doc_id").withColumn("doc_id", F.regexp_extract("value", r"^>(\d+)\n", 1).cast("long"))
 
 
-@query()
+_SIDE_OF = "sd AS (SELECT DISTINCT side, doc_id FROM sided)"
+
+
+@query(f"""WITH {DNA}, {SIDES}, {_SIDE_OF}, {sql.windows('w', K)}, d AS (SELECT DISTINCT token FROM w), {sql.murmur_x86('h', 'd', 'token', K, 0, 'token')},
+kept AS (SELECT token FROM h WHERE (h1::UHUGEINT + h2::UHUGEINT * 4294967296::UHUGEINT) % 10::UHUGEINT = 0), {sql.minimizers('p', K, K - Z + 1)}, {sql.syncmers('q', K, Z)},
+t AS (SELECT 'exact' AS method, doc_id, token FROM w UNION ALL SELECT 'sampled', doc_id, token FROM w WHERE token IN (SELECT token FROM kept)
+  UNION ALL SELECT 'minimizers', doc_id, substr(seq, pos + 1, {K}) FROM p UNION ALL SELECT 'syncmers', doc_id, substr(seq, pos + 1, {K}) FROM q),
+m AS (SELECT method, token, count(DISTINCT side) AS n FROM t JOIN sd USING (doc_id) GROUP BY method, token)
+SELECT method, round(count(*) FILTER (n = 2) / count(*), 9) AS jaccard FROM m GROUP BY method""")
 def similarity_by_method(spark, sf_dir):
-    return reports.similarity_by_method(sided(spark, sf_dir), K, Z, 10)
+    return reports.similarity_by_method(sided(spark, sf_dir), K, Z, 10).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+@query(f"""WITH {DNA}, {SIDES}, {_SIDE_OF}, {sql.windows('w', K)}, {sql.syncmers('q', K, Z)},
+e AS (SELECT doc_id, substr(seq, pos + 1, {K + G}) AS token FROM q WHERE pos + {K + G} < length(seq)
+  UNION ALL SELECT doc_id, substr(seq, 1, {K + G}) FROM dna WHERE length(seq) >= {K + G} UNION ALL SELECT doc_id, substr(seq, length(seq) - {K + G} + 1) FROM dna WHERE length(seq) >= {K + G}),
+x AS (SELECT token, min(side) AS side FROM w JOIN sd USING (doc_id) GROUP BY token HAVING count(DISTINCT side) = 1),
+y AS (SELECT token, min(side) AS side FROM e JOIN sd USING (doc_id) GROUP BY token HAVING count(DISTINCT side) = 1),
+z AS (SELECT DISTINCT side, substr(token, i, {K}) AS token FROM y, range(1, {G + 2}) AS r(i))
+SELECT count(*) AS missing FROM x WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.side = x.side AND z.token = x.token)""")
 def extended_syncmers_cover(spark, sf_dir):
     """k-mers of the exact difference that the difference of extended syncmers does not hold, by side."""
     return reports.extended_covers(sided(spark, sf_dir), K, Z, G)
