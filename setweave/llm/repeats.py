@@ -1,40 +1,43 @@
 """Windows of a document that also start earlier in the corpus: the skeleton of both passage removers.
 
 Units are bytes or words; a window is ``width`` consecutive units of one document. Earlier means a smaller id, or the
-same document and an earlier start. Which windows repeat is judged on the input.
+same document and an earlier start; rows of one id, null ids among them, which come first, follow each other in the order of a hash of their texts. Which
+windows repeat is judged on the input.
 
-1. Each window has an anchor: the run of ``gram`` units in it with the smallest hash, the leftmost of equals. Equal
-   windows have equal anchors at the same offset, and neighbouring windows mostly share theirs, so there are far
+1. Documents are written in packs (see ``packs``). Each window has an anchor: the run of ``gram`` units in it with the smallest hash, the leftmost of
+   equals. Equal windows have equal anchors at the same offset, and neighbouring windows mostly share theirs, so there are far
    fewer anchors than units. Anchors meet by hash; one whose hash occurs twice is flagged.
-2. The flags go back to their documents, which send each flagged anchor's context: the units that
-   its windows cover. Equal contexts of one batch are one; all but the earliest are repeats whole.
+2. The flags go back to their packs, which send each flagged anchor's context: the units that
+   its windows cover. Equal contexts of one pack are sent once, the others being repeats of it.
 3. Contexts of equal anchors meet, and a kernel finds the windows that repeat an earlier one, from the units themselves.
-4. The repeats go back to their documents, whose covered units are removed.
+4. The repeats go back to their packs, whose covered units are removed.
 
-Exchanges carry arrays, packed into one row per batch and receiving partition, so a shuffle costs bytes and not rows.
-Every exchange is dealt out by a hash; a text, or a passage, that very many documents have is sent once
-per batch that has it. Contexts of a hash that occurs more often than ``HOT`` times, and than an eighth of a partition's
-share, are not brought together: digests (128 bits) of their single windows are, which spreads them over
-all partitions. Long documents are read in overlapping stretches.
+An anchor that occurs more often than ``HOT`` times, and than an eighth of a part's share, is not brought together. Its contexts fall apart into
+single windows, which are spread over all parts by their own hashes; and of one window that is itself in very many packs, the kernel first looks at
+``SALTS`` groups of packs apart, whose earliest occurrences alone go on. So a part gets a bounded number of texts of any one window, and none
+counts as equal before its units were compared. Long documents are read in overlapping stretches.
 
-Rows that repeat both id and text count as one document and get the same result.
+Rows that repeat both id and text are documents of their own, of which the first stays whole.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from setweave.llm.common import pieces, remove, save, texts
+from setweave.llm.common import remove, save, texts
+from setweave.llm.packs import ROW, dealt, dealt_to, held_as, joined, n_parts, pack, packed, read, rows_of, together, unpack, with_parts
 
 HOT = 2000
+SALTS = 64
 STRETCH = 1 << 20
 _NULL = -(1 << 63)
 
@@ -97,74 +100,13 @@ def anchors(units: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple
     return h[a[new]] >> U(24), a[new], p[new], np.diff(np.concatenate((new, [len(p)])))
 
 
-#: Columns of packed rows and their types; an unsigned type may have any number of bytes up to 8. A hash of 40 bits is enough to meet by: the
-#: units themselves decide. ``th`` tells apart texts of one id.
-ANCHOR = (("h", "<u5"), ("id", "<i8"), ("th", "<u4"), ("a", "<u4"), ("left", "<u1"), ("n", "<u1"), ("times", "<u2"))
-CONTEXT = (("h", "<u5"), ("id", "<i8"), ("th", "<u4"), ("p", "<u4"), ("left", "<u1"), ("n", "<u1"), ("size", "<u4"))
-WINDOW = (("h", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("th", "<u4"), ("p", "<u4"))
-SPAN = (("id", "<i8"), ("th", "<u4"), ("start", "<u4"), ("end", "<u4"))
-
-
-def _written(values: np.ndarray, kind: str) -> bytes:
-    size = int(kind[-1])
-    if size in (1, 2, 4, 8):
-        return np.asarray(values).astype(kind).tobytes()
-    return np.asarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def _read(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
-    size = int(kind[-1])
-    if size in (1, 2, 4, 8):
-        return np.frombuffer(raw, kind, n, at)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)
-    return out.view("<u8").ravel()
-
-
-def pack(columns: dict[str, np.ndarray], kinds: tuple, blob: list[bytes] | None = None) -> bytes:
-    n = len(columns[kinds[0][0]])
-    return b"".join([n.to_bytes(8, "little"), *(_written(columns[c], t) for c, t in kinds), *(blob or [])])
-
-
-def unpack(raw: bytes, kinds: tuple) -> tuple[dict[str, np.ndarray], bytes]:
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for c, t in kinds:
-        out[c] = _read(raw, t, n, at)
-        at += n * int(t[-1])
-    return out, raw[at:]
-
-
-def _held(kind: str) -> str:
-    """The type in which numpy holds a column."""
-    return kind if int(kind[-1]) in (1, 2, 4, 8) else "<u8"
-
-
-def joined(parts: list[dict[str, np.ndarray]], kinds: tuple) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, _held(t)) for c, t in kinds}
-
-
-def dealt(kind: int, target: np.ndarray, columns: dict[str, np.ndarray], kinds: tuple, blobs: list[bytes] | None = None) -> list[tuple[int, int, bytes]]:
-    """Rows (kind, target, payload), one for each target that gets anything."""
-    if not len(target):
-        return []
-    order = np.argsort(target, kind="stable")
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(target[order])) + 1, [len(order)]))
-    return [
-        (kind, int(target[order[a]]), pack({c: columns[c][order[a:b]] for c, _ in kinds}, kinds, None if blobs is None else [blobs[i] for i in order[a:b].tolist()]))
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)
-    ]
-
-
-def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "target", "payload"])
-
-
-ROW = "kind int, target int, payload binary"
-
-
-def bucket(id_: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
-    """The partition to which a document belongs; Spark's pmod(id ^ th, n)."""
-    return (id_ ^ th) % n
+#: What parts hold of rows of a pack. A hash of 40 bits is enough to meet by: the units themselves decide. ``times`` is how often the pack has an anchor; on
+#: the way back, 1 marks one that is hot.
+ANCHOR = (("h", "<u5"), ("row", "<u4"), ("a", "<u4"), ("left", "<u1"), ("n", "<u1"), ("times", "<u2"))
+#: ``th``, of a text's hash, only orders texts of one id.
+CONTEXT = (("h", "<u5"), ("id", "<i8"), ("th", "<u4"), ("row", "<u4"), ("p", "<u4"), ("left", "<u1"), ("n", "<u1"), ("size", "<u4"))
+SPAN = (("row", "<u4"), ("start", "<u4"), ("end", "<u4"))
+LOW = U((1 << 40) - 1)
 
 
 @dataclass
@@ -201,215 +143,168 @@ def _stretches(at: np.ndarray, width: int) -> Iterator[tuple[list[tuple[int, int
         yield held, size
 
 
-def _find_anchors(units: Units, n_parts: int, n_buckets: int):
+def _find_anchors(units: Units, n: int):
+    """Of each pack, its anchors: each hash once to its part (kind 0), with how often it is here, and those whose hash is here twice to the pack itself (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[dict[str, np.ndarray]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            x = joined(found, ANCHOR)
-            order = np.argsort(x["h"], kind="stable")
-            h = x["h"][order]
-            first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-            times = np.diff(np.concatenate((np.flatnonzero(first), [len(h)])))
-            x["times"] = np.zeros(len(h), np.int64)
-            x["times"][order] = np.repeat(np.minimum(times, (1 << 16) - 1), times)
-            one = {c: v[order[first]] for c, v in x.items()}
-            many = {c: v[x["times"] > 1] for c, v in x.items()}
-            # A hash goes out once, with how often it is here; where it is here twice, its anchors are flagged at once.
-            return batch_of(
-                dealt(0, (one["h"] % U(n_parts)).astype(np.int64), one, ANCHOR) + dealt(1, bucket(many["id"], many["th"], n_buckets), many, ANCHOR)
-            )
-
-        for b in pieces(batches, "text", 4 << 20):
-            ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
-            hashes, at, _ = units.split(texts(b.column("text")))
-            for parts, _n in _stretches(at, units.width):
-                whole = np.concatenate([hashes[at[k] + i : at[k] + j] for k, i, j in parts])
-                sizes = np.array([j - i for _, i, j in parts])
-                upto = np.cumsum(sizes)
-                h, a, p, n = anchors(whole, np.repeat(upto, sizes), units.width, units.gram)
-                if not len(h):
-                    continue
-                part = np.searchsorted(upto, p, side="right")
-                doc = np.array([k for k, _, _ in parts])[part]
-                shift = np.array([i for _, i, _ in parts])[part] - (upto - sizes)[part]
-                found.append({"h": h, "id": ids[doc], "th": ths[doc], "a": a + shift, "left": a - p, "n": n, "times": np.zeros(len(h))})
-                size += len(h)
-            if size >= 1 << 19:
-                yield out()
-                found.clear()
-                size = 0
-        if found:
-            yield out()
+        for b in batches:
+            for number, body in zip(b.column("pack").to_pylist(), b.column("body"), strict=True):
+                out = _anchors_of(number, read(body.as_py()), units, n)
+                if out:
+                    yield rows_of(out)
 
     return run
 
 
-def _flag(n_buckets: int, hot: int):
-    """Of anchors of one part of the hashes, those whose hash comes more than once, dealt to their documents (kind 1); hashes that are hot, to all (kind 0)."""
+def _anchors_of(number: int, b: pa.RecordBatch, units: Units, n: int) -> list:
+    found: list[dict[str, np.ndarray]] = []
+    hashes, at, _ = units.split(texts(b.column("text")))
+    for parts, _n in _stretches(at, units.width):
+        whole = np.concatenate([hashes[at[k] + i : at[k] + j] for k, i, j in parts])
+        sizes = np.array([j - i for _, i, j in parts])
+        upto = np.cumsum(sizes)
+        h, a, p, many = anchors(whole, np.repeat(upto, sizes), units.width, units.gram)
+        if not len(h):
+            continue
+        part = np.searchsorted(upto, p, side="right")
+        row = np.array([k for k, _, _ in parts])[part]
+        shift = np.array([i for _, i, _ in parts])[part] - (upto - sizes)[part]
+        found.append({"h": h, "row": row, "a": a + shift, "left": a - p, "n": many, "times": np.zeros(len(h), np.int64)})
+    x = joined(found, ANCHOR)
+    if not len(x["h"]):
+        return []
+    order = np.argsort(x["h"], kind="stable")
+    h = x["h"][order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    times = np.diff(np.concatenate((np.flatnonzero(first), [len(h)])))
+    x["times"][order] = np.repeat(np.minimum(times, (1 << 16) - 1), times)
+    one = {c: v[order[first]] for c, v in x.items()}
+    some = x["times"] > 1
+    again = {c: v[some] for c, v in x.items()} | {"times": np.zeros(int(some.sum()), np.int64)}
+    return dealt(0, number, (one["h"] % U(n)).astype(np.int64), one, ANCHOR) + dealt(1, number, np.full(len(again["h"]), number), again, ANCHOR)
+
+
+def _flag(hot: int):
+    """Of anchors of one part of the hashes, those whose hash more than one pack has, or which is hot, for their packs (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = joined([unpack(raw, ANCHOR)[0] for b in batches for raw in b.column("payload").to_pylist()], ANCHOR)
+        parts, sources = [], []
+        for b in batches:
+            for source, raw in zip(b.column("source").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                parts.append(unpack(raw, ANCHOR)[0])
+                sources.append(np.full(len(parts[-1]["h"]), source))
+        x = joined(parts, ANCHOR)
         if not len(x["h"]):
             return
         order = np.argsort(x["h"], kind="stable")
         h = x["h"][order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         sizes = np.diff(np.concatenate((first, [len(h)])))
-        total = np.add.reduceat(x["times"][order].astype(np.int64), first)
-        some = np.zeros(len(h), bool)
-        some[order] = np.repeat(sizes > 1, sizes)
-        x = {c: v[some] for c, v in x.items()}
-        often = h[first[total > hot]].astype("<u8").tobytes()
-        yield batch_of(dealt(1, bucket(x["id"], x["th"], n_buckets), x, ANCHOR) + [(0, t, often) for t in range(n_buckets if often else 0)])
+        often = np.add.reduceat(x["times"][order].astype(np.int64), first) > hot
+        some = order[np.repeat((sizes > 1) | often, sizes)]
+        x["times"] = np.zeros(len(h), np.int64)
+        x["times"][order] = np.repeat(often, sizes)
+        out = dealt(1, -1, np.concatenate(sources)[some], {c: v[some] for c, v in x.items()}, ANCHOR)
+        if out:
+            yield rows_of(out)
 
     return run
 
 
-def _send_contexts(units: Units, n_parts: int):
-    """Of a partition of documents, flags first: contexts (kind 0), digests of single windows (3), spans known here (2), texts with flags (4) and without (5)."""
+def _send_contexts(units: Units, n: int):
+    """Of packs with their flags: contexts (kind 0), single windows of hot anchors (3), and spans known here (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags: list[dict[str, np.ndarray]] = []
-        slices: dict[tuple[int, int], tuple[int, int]] | None = None
-        x: dict[str, np.ndarray] = {}
-        often: list[np.ndarray] = []
-        for whole in batches:
-            kind = whole.column("kind").to_numpy()
-            flags += [unpack(raw, ANCHOR)[0] for raw in whole.filter(pa.array(kind == 1)).column("payload").to_pylist()]
-            often += [np.frombuffer(raw, "<u8") for raw in whole.filter(pa.array(kind == 0)).column("payload").to_pylist()]
-            docs = whole.filter(pa.array(kind == 5))
-            if not docs.num_rows:
-                continue
-            if slices is None:  # flags come first, so all are here
-                x = joined(flags, ANCHOR)
-                x["times"] = np.isin(x["h"], np.concatenate(often)) if often else np.zeros(len(x["h"]), bool)
-                # An anchor near the border of two stretches has windows in both: repeats have the same first window, too.
-                order = np.lexsort((-x["left"].astype(np.int64), x["a"], x["th"], x["id"]))
-                x = {c: v[order] for c, v in x.items()}
-                new = np.ones(len(order), bool)
-                new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["th"][1:] != x["th"][:-1]) | (x["a"][1:] != x["a"][:-1]) | (x["left"][1:] != x["left"][:-1])
-                x = {c: v[new] for c, v in x.items()}
-                cuts = np.flatnonzero((x["id"][1:] != x["id"][:-1]) | (x["th"][1:] != x["th"][:-1])) + 1
-                begin, end = np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(x["id"])])).tolist()
-                slices = {(int(x["id"][a]), int(x["th"][a])): (a, b) for a, b in zip(begin, end, strict=True)} if len(x["id"]) else {}
-                flags.clear()
-            for b in pieces(iter([docs]), "text", 4 << 20):
-                yield from _contexts_of(b, units, n_parts, x, slices)
+        for number, body, parts in with_parts(batches):
+            if parts:
+                out = _contexts_of(number, read(body), units, n, joined([unpack(raw, ANCHOR)[0] for _, _, raw in parts], ANCHOR))
+                if out:
+                    yield rows_of(out)
 
     return run
 
 
-def _contexts_of(b: pa.RecordBatch, units: Units, n_parts: int, x: dict[str, np.ndarray], slices: dict) -> Iterator[pa.RecordBatch]:
-    ids, ths = b.column("id").to_pylist(), b.column("th").to_pylist()
-    raw = texts(b.column("text"))
-    flagged = [k for k in range(len(ids)) if (ids[k], ths[k]) in slices]
-    flagged.sort(key=lambda k: (ids[k], ths[k]))
-    marked = np.zeros(len(ids), bool)
-    marked[flagged] = True
-    payload = raw.cast(pa.binary())
-    nulls = pa.nulls
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.where(marked, 4, 5).astype(np.int32)), pa.array((b.column("target").to_numpy()).astype(np.int32)), payload, b.column("id"), b.column("th")],
-        names=["kind", "target", "payload", "id", "th"],
-    )
-    if not flagged:
-        return
-    part = raw.take(pa.array(flagged))
-    hashes, at, text_of = units.split(part)
-    del hashes, at
+def _contexts_of(number: int, b: pa.RecordBatch, units: Units, n: int, x: dict[str, np.ndarray]) -> list:
+    hot = np.unique(x["h"][x["times"] > 0])
+    # An anchor near the border of two stretches has windows in both: repeats have the same first window, too.
+    order = np.lexsort((-x["left"].astype(np.int64), x["a"], x["row"]))
+    x = {c: v[order] for c, v in x.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (x["row"][1:] != x["row"][:-1]) | (x["a"][1:] != x["a"][:-1]) | (x["left"][1:] != x["left"][:-1])
+    x = {c: v[new] for c, v in x.items()}
+    x["times"] = np.isin(x["h"], hot)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(x["row"])) + 1, [len(x["row"])])).tolist()
+    flagged = {int(x["row"][i]): (i, j) for i, j in zip(cuts, cuts[1:], strict=False)}
+    ids, ths = b.column("ord").to_pylist(), b.column("th").to_pylist()
+    rows = sorted(flagged, key=lambda k: (ids[k], ths[k], k))
+    _, _, text_of = units.split(texts(b.column("text").take(pa.array(rows))))
     seen: set[tuple[int, int, bytes]] = set()
-    seen_window: set[tuple[int, bytes]] = set()
-    out = {c: [] for c, _ in CONTEXT}
-    win = {c: [] for c, _ in WINDOW}
+    out: dict[int, tuple[dict[str, list], list[bytes]]] = {kind: ({c: [] for c, _ in CONTEXT}, []) for kind in (0, 3)}
     spans = {c: [] for c, _ in SPAN}
-    blobs: list[bytes] = []
-    last: tuple | None = None
-    for row, k in enumerate(flagged):
-        if last == (ids[k], ths[k]):
-            continue  # a row that repeats id and text
-        last = (ids[k], ths[k])
-        begin, end = slices[last]
-        for h, a, left, n, hot in zip(*(x[c][begin:end].tolist() for c in ("h", "a", "left", "n", "times")), strict=True):
+    for place, k in enumerate(rows):
+        i, j = flagged[k]
+        for h, a, left, many, single in zip(*(x[c][i:j].tolist() for c in ("h", "a", "left", "n", "times")), strict=True):
             p = a - left
-            if hot:
-                for j in range(n):
-                    window = text_of(row, p + j, units.width)
-                    if (left - j, window) in seen_window:
-                        spans["id"].append(last[0]), spans["th"].append(last[1]), spans["start"].append(p + j), spans["end"].append(p + j + units.width)
-                        continue
-                    seen_window.add((left - j, window))
-                    digest = hashlib.blake2b(window, digest_size=16).digest()
-                    win["h"].append(int.from_bytes(digest[:8], "little")), win["h2"].append(int.from_bytes(digest[8:], "little"))
-                    win["id"].append(last[0]), win["th"].append(last[1]), win["p"].append(p + j)
-                continue
-            context = text_of(row, p, n - 1 + units.width)
-            if (left, n, context) in seen:
-                spans["id"].append(last[0]), spans["th"].append(last[1]), spans["start"].append(p), spans["end"].append(p + n - 1 + units.width)
-                continue
-            seen.add((left, n, context))
-            for c, v in zip(out, (h, last[0], last[1], p, left, n, len(context)), strict=True):
-                out[c].append(v)
-            blobs.append(context)
-    own = int(b.column("target")[0].as_py())
-    columns = {c: np.array(out[c], _held(t)) for c, t in CONTEXT}
-    rows = dealt(0, (mix(columns["h"]) % U(n_parts)).astype(np.int64), columns, CONTEXT, blobs)
-    columns = {c: np.array(win[c], _held(t)) for c, t in WINDOW}
-    rows += dealt(3, (columns["h"] % U(n_parts)).astype(np.int64), columns, WINDOW)
-    columns = {c: np.array(spans[c], _held(t)) for c, t in SPAN}
-    rows += dealt(2, np.full(len(columns["id"]), own), columns, SPAN)
-    if rows:
-        plain = batch_of(rows)
-        yield pa.RecordBatch.from_arrays([*plain.columns, nulls(len(rows), pa.int64()), nulls(len(rows), pa.int64())], names=["kind", "target", "payload", "id", "th"])
-
-
-def _compare(units: Units, n_buckets: int):
-    """Of contexts and digests of one part of the hashes: spans of windows that repeat an earlier one, dealt to their documents."""
+            todo = [(p, left, many, text_of(place, p, many - 1 + units.width))]
+            while todo:
+                at, before, wide, context = todo.pop()
+                if (before, wide, context) in seen:
+                    spans["row"].append(k), spans["start"].append(at), spans["end"].append(at + wide - 1 + units.width)
+                    continue
+                seen.add((before, wide, context))
+                if single and wide > 1:
+                    todo = [(p + d, left - d, 1, text_of(place, p + d, units.width)) for d in range(many)]
+                    continue
+                columns, blobs = out[3 if single else 0]
+                name = xxhash.xxh64_intdigest(context, before) & int(LOW) if single else h
+                for c, v in zip(columns, (name, ids[k], ths[k], k, at, before, wide, len(context)), strict=True):
+                    columns[c].append(v)
+                blobs.append(context)
+    sent = []
+    for kind, (columns, blobs) in out.items():
+        columns = {c: np.array(columns[c], held_as(t)) for c, t in CONTEXT}
+        salt = 0 if kind == 0 else xxhash.xxh64_intdigest(number.to_bytes(8, "little")) % SALTS
+        sent += dealt(kind, number, ((mix(columns["h"]) + mix(np.array([salt], U))) % U(n)).astype(np.int64), columns, CONTEXT, blobs)
+    spans = {c: np.array(spans[c], held_as(t)) for c, t in SPAN}
+    return sent + dealt(2, -1, np.full(len(spans["row"]), number), spans, SPAN)
+
+
+def _compare(units: Units, n: int, salted: bool):
+    """Of contexts of one part of the hashes: spans of windows that repeat an earlier one, for their packs (kind 2); if ``salted``, also the contexts that are not wholly repeats (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, blobs, windows = [], [], []
+        parts, blobs, sources = [], [], []
         for b in batches:
-            for kind, raw in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                if kind == 3:
-                    windows.append(unpack(raw, WINDOW)[0])
-                    continue
-                columns, blob = unpack(raw, CONTEXT)
+            for source, raw in zip(b.column("source").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                columns, blob = unpack(raw, CONTEXT, blobs=True)
+                # Survivors of the salted round come from many packs, which are named behind their texts.
+                if source < 0:
+                    sources.append(np.frombuffer(blob, "<i8", len(columns["h"]), len(blob) - 8 * len(columns["h"])))
+                else:
+                    sources.append(np.full(len(columns["h"]), source))
                 parts.append(columns)
                 at = np.concatenate(([0], np.cumsum(columns["size"], dtype=np.int64))).tolist()
                 blobs += [blob[i:j] for i, j in zip(at, at[1:], strict=False)]
-        spans: list[dict[str, np.ndarray]] = []
-        w = joined(windows, WINDOW)
-        order = np.lexsort((w["p"], w["th"], w["id"], w["h2"], w["h"]))
-        later = order[1:][(w["h"][order[1:]] == w["h"][order[:-1]]) & (w["h2"][order[1:]] == w["h2"][order[:-1]])] if len(order) else order
-        spans.append({"id": w["id"][later], "th": w["th"][later], "start": w["p"][later], "end": w["p"][later] + units.width})
-
         x = joined(parts, CONTEXT)
-        order = np.lexsort((x["p"] + x["left"], x["th"], x["id"], x["h"]))
+        if not len(x["h"]):
+            return
+        source = np.concatenate(sources)
+        order = np.lexsort((x["p"] + x["left"], x["row"], source, x["th"], x["id"], x["h"]))
         h = x["h"][order]
-        cuts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)])) if len(h) else np.zeros(1, np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
+        spans: list[dict[str, np.ndarray]] = []
+        owners: list[np.ndarray] = []
+        repeated = np.zeros(len(h), bool)
         groups, held = [], 0
 
         def solve() -> None:
-            # Equal contexts first: all but the earliest repeat whole, and only different ones go to the kernel.
-            tasks, whole = [], []
-            for g in groups:
-                seen: dict[tuple[int, int, bytes], int] = {}
-                for i in g.tolist():
-                    if seen.setdefault((int(x["left"][i]), int(x["n"][i]), blobs[i]), i) != i:
-                        whole.append(i)
-                if len(seen) > 1:
-                    tasks.append(np.array(list(seen.values())))
-            if whole:
-                i = np.array(whole)
-                spans.append({"id": x["id"][i], "th": x["th"][i], "start": x["p"][i], "end": x["p"][i] + x["n"][i].astype(np.int64) - 1 + units.width})
-            if not tasks:
-                return
-            rows = np.concatenate(tasks)
-            member, first, last = units.kernel([len(t) for t in tasks], x["left"][rows].astype(np.int64), x["n"][rows].astype(np.int64), [blobs[i] for i in rows.tolist()])
+            rows = np.concatenate(groups)
+            member, first, last = units.kernel([len(g) for g in groups], x["left"][rows].astype(np.int64), x["n"][rows].astype(np.int64), [blobs[i] for i in rows.tolist()])
             if len(member):
                 i = rows[member]
-                spans.append({"id": x["id"][i], "th": x["th"][i], "start": x["p"][i] + first, "end": x["p"][i] + last + units.width})
+                spans.append({"row": x["row"][i], "start": x["p"][i] + first, "end": x["p"][i] + last + units.width})
+                owners.append(source[i])
+                repeated[i[(first == 0) & (last + 1 == x["n"][i])]] = True
 
         for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
             if b - a < 2:
@@ -422,8 +317,18 @@ def _compare(units: Units, n_buckets: int):
         if groups:
             solve()
         s = joined(spans, SPAN)
-        if len(s["id"]):
-            yield batch_of(dealt(2, bucket(s["id"], s["th"], n_buckets), s, SPAN))
+        out = dealt(2, -1, np.concatenate(owners) if owners else np.zeros(0, np.int64), s, SPAN)
+        if salted:
+            on = np.flatnonzero(~repeated)
+            target = mix(x["h"][on]) % U(n)
+            by = np.argsort(target, kind="stable")
+            on, target = on[by], target[by]
+            for t in np.unique(target).tolist():
+                some = on[target == U(t)]
+                tail = [*(blobs[i] for i in some.tolist()), source[some].astype("<i8").tobytes()]
+                out.append((0, int(t), -1, pack({c: v[some] for c, v in x.items()}, CONTEXT, tail)))
+        if out:
+            yield rows_of(out)
 
     return run
 
@@ -437,32 +342,25 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack((start[at], end[np.concatenate((at[1:], [len(end)])) - 1]), axis=1)
 
 
-def _cut(units: Units):
+def _cut(units: Units, names: list[str]):
     none = np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        known: dict[tuple[int, int], np.ndarray] | None = None
-        for b in batches:
-            kinds, raws = b.column("kind").to_pylist(), b.column("payload")
-            docs = [i for i, k in enumerate(kinds) if k != 2]
-            held += [unpack(raws[i].as_py(), SPAN)[0] for i, k in enumerate(kinds) if k == 2]
-            if docs and known is None:
-                s = joined(held, SPAN)
-                order = np.lexsort((s["th"], s["id"]))
-                s = {c: v[order] for c, v in s.items()}
-                cuts = np.flatnonzero((s["id"][1:] != s["id"][:-1]) | (s["th"][1:] != s["th"][:-1])) + 1
-                begin, end = np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(order)])).tolist()
-                known = {(int(s["id"][a]), int(s["th"][a])): merged(s["start"][a:b], s["end"][a:b]) for a, b in zip(begin, end, strict=True)} if len(order) else {}
-                held.clear()
-            for at in range(0, len(docs), 512):
-                some = docs[at : at + 512]
-                ids, ths = (b.column(c).take(pa.array(some)) for c in ("id", "th"))
-                spans = [known.get(key, none) for key in zip(ids.to_pylist(), ths.to_pylist(), strict=True)]
-                kept = [units.keep(raws[i].as_py(), s) for i, s in zip(some, spans, strict=True)]
+        for _, body, parts in with_parts(batches):
+            s = joined([unpack(raw, SPAN)[0] for _, _, raw in parts], SPAN)
+            s = {c: v.astype(np.int64) for c, v in s.items()}
+            order = np.argsort(s["row"], kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(s["row"][order])) + 1, [len(order)])).tolist()
+            known = {int(s["row"][order[i]]): merged(s["start"][order[i:j]], s["end"][order[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i}
+            whole = read(body)
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                raws = texts(b.column("text")).cast(pa.binary()).to_pylist()
+                spans = [known.get(at + k, none) for k in range(len(raws))]
+                kept = [units.keep(raw, s) for raw, s in zip(raws, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([n for _, n in kept], pa.int64()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64()))), pa.array([k for k, _ in kept], pa.binary())],
-                    names=["id", "n", "spans", "kept"],
+                    [b.column("id"), pa.array([k for _, k in kept], pa.int64()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64()))), pa.array([k for k, _ in kept], pa.binary())],
+                    names=names,
                 )
 
     return run
@@ -479,37 +377,30 @@ def without_repeats(docs: DataFrame, units: Units, id_col: str = "doc_id", text_
     if not 1 <= units.gram <= units.width <= 255:
         raise ValueError("a window has 1 to 255 units")
     spark = docs.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Null ids come first.
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("ord"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), text.alias("text"))
+    packs = packed(rows)
+    n = n_parts(spark, packs)
 
-    found = save(rows.mapInArrow(_find_anchors(units, n_parts, n_parts), ROW), "anchors")
+    found = save(packs.select("pack", "body").mapInArrow(_find_anchors(units, n), ROW), "anchors")
     bytes_met = found.filter("kind = 0").agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    hot = max(HOT, bytes_met // sum(int(t[-1]) for _, t in ANCHOR) // (8 * n_parts))
-    met = found.filter("kind = 0").repartitionById(n_parts, F.col("target")).mapInArrow(_flag(n_parts, hot), ROW)
-    flags = save(found.filter("kind = 1").union(met), "flags")
+    hot = max(HOT, bytes_met // sum(int(t[-1]) for _, t in ANCHOR) // (8 * n))
+    flags = save(found.filter("kind = 1").union(dealt_to(found.filter("kind = 0"), n).mapInArrow(_flag(hot), ROW)), "flags")
     remove(spark, found)
-    del found, met
+    del found
     _free(spark)
 
-    target = F.pmod(F.col("id").bitwiseXOR(F.col("th")), F.lit(n_parts)).cast("int")
-    null = F.lit(None)
-    both = flags.select("kind", "target", "payload", null.cast("long").alias("id"), null.cast("long").alias("th"), null.cast("string").alias("text")).union(
-        rows.select(F.lit(5).alias("kind"), target.alias("target"), null.cast("binary").alias("payload"), "id", "th", "text")
-    )
-    sent = save(both.repartitionById(n_parts, F.col("target")).sortWithinPartitions("kind").mapInArrow(_send_contexts(units, n_parts), ROW + ", id long, th long"), "contexts")
+    sent = save(together(packs, flags, n).mapInArrow(_send_contexts(units, n), ROW), "contexts")
     remove(spark, flags)
-    del flags, both
+    del flags
     _free(spark)
 
-    compared = sent.filter("kind in (0, 3)").select("kind", "target", "payload").repartitionById(n_parts, F.col("target")).mapInArrow(_compare(units, n_parts), ROW)
-    spans = save(sent.filter("kind = 2").select("kind", "target", "payload").union(compared), "spans")
-    del compared
+    first = save(dealt_to(sent.filter("kind = 3"), n).mapInArrow(_compare(units, n, True), ROW), "hot-windows")
+    rest = dealt_to(sent.filter("kind = 0").union(first.filter("kind = 0")), n).mapInArrow(_compare(units, n, False), ROW)
+    spans = save(sent.filter("kind = 2").union(first.filter("kind = 2")).union(rest), "spans")
+    remove(spark, sent, first)
+    del sent, first, rest
     _free(spark)
 
-    last = spans.select("kind", "target", "payload", null.cast("long").alias("id"), null.cast("long").alias("th")).union(sent.filter("kind = 4").select("kind", "target", "payload", "id", "th"))
-    shape = "id long, n long, spans array<array<bigint>>, kept binary"
-    cut = last.repartitionById(n_parts, F.col("target")).sortWithinPartitions("kind").mapInArrow(_cut(units), shape)
-    whole = sent.filter("kind = 5").select("kind", "target", "payload", "id", "th").mapInArrow(_cut(units), shape)
-    return cut.union(whole).withColumn("id", F.when(F.col("id") != _NULL, F.col("id")).cast(docs.schema[id_col].dataType))
+    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
+    return together(packs, spans, n).mapInArrow(_cut(units, shape.names), shape)

@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setweave.llm import catalog, class_lm, exact_dedup, mixing, piece_sampling, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_files
+from setweave.llm import catalog, class_lm, exact_dedup, mixing, piece_sampling, quality, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, token_files
 from setweave.llm.common import scratch
 from setweave.llm.components import components
 from tests.compare import duck_rows, spark_rows
@@ -203,34 +204,47 @@ def test_mixture_comes_near_its_targets(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] + 5 for r in rows)
 
 
+def in_order(rows):
+    """(id, text) of rows in the order in which passages count as earlier."""
+    return sorted(((key(i), t or "") for i, t, *_ in rows), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1].encode(), 42) & (1 << 32) - 1))
+
+
+def without(rows, split, width, glue):
+    """What stays of each row by the plain version, and how many units go."""
+    ordered = [(i, split(t.encode())) for i, t in in_order(rows)]
+    flags = brute.removed([(n, units) for n, (_, units) in enumerate(ordered)], width)
+    return sorted((i, len(units), sum(flags[n]), glue([u for u, out in zip(units, flags[n], strict=True) if not out])) for n, (i, units) in enumerate(ordered))
+
+
+def stays(found):
+    return sorted((key(r["id"]), r["n"], sum(b - a for a, b in r["spans"]), bytes(r["kept"])) for r in found.collect())
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_repeated_strings_go(docs, monkeypatch, hot):
-    from setweave.llm import repeats
+    monkeypatch.setattr(repeats, "HOT", hot)
+    assert stays(suffix_dedup.without_repeated_strings(docs)) == without(ROWS, bytes, 100, bytes)
 
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeated_passages_go(docs, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
-    different = sorted({(key(i), t or "") for i, t, *_ in ROWS})
-    flags = brute.removed([((i, t), t.encode()) for i, t in different], 100)
-    for r in suffix_dedup.without_repeated_strings(docs).collect():
-        raw = next(t for i, t in different if i == key(r["id"]) and len(t.encode()) == r["n"])
-        want = flags[key(r["id"]), raw]
-        assert bytes(r["kept"]) == bytes(b for b, out in zip(raw.encode(), want, strict=True) if not out)
-        assert sum(b - a for a, b in r["spans"]) == sum(want)
-
-
-def test_repeated_passages_go(docs):
-    different = sorted({(key(i), t or "") for i, t, *_ in ROWS})
-    flags = brute.removed([((i, t), t.encode().split()) for i, t in different], 20)
-    got = substring_dedup.without_repeated_passages(docs).collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        options = [t for i, t in different if i == key(r["id"]) and len(t.encode().split()) == r["n"]]
-        wants = [b" ".join(w for w, out in zip(t.encode().split(), flags[key(r["id"]), t], strict=True) if not out) for t in options]
-        assert bytes(r["kept"]) in wants
+    assert stays(substring_dedup.without_repeated_passages(docs)) == without(ROWS, bytes.split, 20, b" ".join)
 
 
-def test_long_texts_are_read_in_stretches(spark, monkeypatch):
-    from setweave.llm import repeats
+@pytest.mark.parametrize("remove,split,width,glue", [(suffix_dedup.without_repeated_strings, bytes, 100, bytes), (substring_dedup.without_repeated_passages, bytes.split, 20, b" ".join)])
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch, remove, split, width, glue):
+    """Many rows without an id and of one id, in many packs: what repeats goes, and nothing else."""
+    passage = brute.prose(45, 70)
+    texts = [brute.prose(30, 100 + i) + " " + (passage + " " if i % 3 == 0 else "") + brute.prose(25, 200 + i) for i in range(60)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    for hot in (2000, 1):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+        assert stays(remove(df)) == without(rows, split, width, glue)
+
 
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 300)
     texts = [brute.prose(400, 50), brute.prose(10, 51) + " " + brute.prose(400, 50)[150:900] + " " + brute.prose(30, 52)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
