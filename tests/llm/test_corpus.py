@@ -296,13 +296,81 @@ def test_reference_matches(spark):
 
 def test_class_model(docs):
     want, n = brute.unigram(ROWS)
-    for limit in (8_000_000, 0):
-        got = class_lm.scored(docs, limit=limit).collect()
+    for top in (1024, 3, 0):
+        got = class_lm.scored(docs, top=top).collect()
         assert {r["train_tokens"] for r in got} == {n}
         assert sorted((r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == sorted((a, b, c, round(d, 4)) for a, b, c, d in want)
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def _class_of_words(packs, tokens):
+    """The class of each word, as the packs of a model have it; ``tokens`` are all texts' tokens, in the order of their ids."""
+    out = {}
+    for (raw,) in packs.collect():
+        b = class_lm.read(raw)
+        ids, counts, place, cls = (b.column(c).values.to_pylist() for c in ("id", "counts", "place", "cls"))
+        at = 0
+        for i, n in zip(ids, counts, strict=True):
+            out |= dict(zip(tokens[i], (cls[p] for p in place[at : at + n]), strict=True))
+            at += n
+    return out
+
+
+def test_class_scores_against_the_plain_model(spark):
+    """Scores from counts of all classes and words by plain loops; and every word was moved to where the whole likelihood is largest."""
+    texts = [brute.prose(60, i) + f" w{i} w{i % 7} w{i % 7} rare{i}" for i in range(40)]
+    tokens = [[*t.lower().split(), None] for t in texts]
+    df = spark.createDataFrame([(i, i % 7 == 2, t) for i, t in enumerate(texts)], "id long, held boolean, text string").repartition(3)
+    most = collections.Counter(w for i, t in enumerate(tokens) if i % 7 != 2 for w in t if w is not None).most_common()
+    top = next(k for k in range(6, 40) if most[k - 1][1] > most[k][1])  # no tie decides which words are frequent
+    model, packs = class_lm.train(df, top=top, classes=4)
+    of, last = _class_of_words(packs, tokens), len(model.transition) - 1
+    own = [t for i, t in enumerate(tokens) if i % 7 != 2]
+    words = collections.Counter(w for t in own for w in t)
+    pairs = collections.Counter(p for t in own for p in zip([None, *t], t, strict=False))
+    assert of[None] == last and {of[w] for w, n in words.items() if n == 1} == {last - 1} and len(set(of.values())) > 4
+
+    def joint(of):
+        out = collections.Counter()
+        for (a, b), n in pairs.items():
+            out[of[a], of[b]] += n
+        return out
+
+    counts, size, kinds = joint(of), collections.Counter(), collections.Counter(of[w] for w in words)
+    for w, n in words.items():
+        size[of[w]] += n
+    before = collections.Counter()
+    for (a, _), n in counts.items():
+        before[a] += n
+    seen = collections.Counter(words.values())
+    d = min(seen[1] / (seen[1] + 2 * seen[2]), 0.999)
+    got = {r["id"]: r for r in packs.mapInArrow(class_lm._scores(model, ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").collect()}
+    for i, t in enumerate(tokens):
+        total, c = 0.0, last
+        for w in t:
+            now = of[w]
+            total += math.log10((counts[c, now] + 0.1) / (before[c] + 0.1 * (last + 1)))
+            mass = words[w] - (d if now == last - 1 else 0) if words[w] else d * kinds[last - 1]
+            total += math.log10(mass / size[now])
+            c = now
+        assert got[i]["score"] == pytest.approx(total, abs=1e-6)
+
+    def likelihood(of):
+        c = joint(of)
+        sides = collections.Counter(), collections.Counter()
+        for (a, b), n in c.items():
+            sides[0][a] += n
+            sides[1][b] += n
+        return sum(n * math.log(n) for n in c.values()) - sum(n * math.log(n) for s in sides for n in s.values())
+
+    frequent = {w for w, _ in most[:top]}
+    start = {w: c if w is None or w in frequent else last - 1 for w, c in of.items()}
+    for w, n in words.items():
+        if n > 1 and w is not None and w not in frequent:
+            best = [likelihood(start | {w: c}) for c in range(last)]
+            assert best[of[w]] == pytest.approx(max(best), abs=1e-6)
+
+
 def test_class_model_beats_the_base_on_held_out_texts(spark):
     df = spark.read.parquet(f"{FOLDER}/documents.parquet")
     held = class_lm.scored(df).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
@@ -311,12 +379,14 @@ def test_class_model_beats_the_base_on_held_out_texts(spark):
 
 
 def test_model_is_a_distribution(spark):
-    df = spark.createDataFrame([(i, brute.prose(50, i)) for i in range(20)], "doc_id long, text string")
-    m, parts = class_lm.train(df, "text", top=8, endings=4, classes=5)
-    row = parts.select("hs", "ns", "endings").toArrow()
-    h, n, e = (np.frombuffer(b"".join(row.column(c).to_pylist()), t) for c, t in (("hs", "<u8"), ("ns", "<i8"), ("endings", "<u4")))
-    cls = m.of[m.units.of(h, e.astype(np.uint64))]
-    mass = np.bincount(cls, 10 ** m.emission(n, cls), len(m.words)) + np.where(m.words > 0, 10**m.unknown, 0)
+    texts = [brute.prose(50, i) for i in range(20)]
+    tokens = [[*t.lower().split(), None] for t in texts]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held boolean, text string")
+    m, packs = class_lm.train(df, top=8, classes=5)
+    of, words = _class_of_words(packs, tokens), collections.Counter(w for t in tokens for w in t)
+    n, cls = np.array([words[w] for w in words]), np.array([of[w] for w in words])
+    mass = np.bincount(cls, 10 ** m.emission(n, cls), len(m.words))
+    mass[m.rare] += 10**m.unknown
     assert mass[m.words > 0] == pytest.approx(1.0)
     assert (10**m.transition).sum(axis=1) == pytest.approx(1.0)
 
