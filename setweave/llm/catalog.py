@@ -89,6 +89,48 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(without_repeated_passages(documents(spark, sf_dir)), "n_words").drop("n_spans")
 
 
+#: Bytes of a text as two hexadecimal digits each, and the windows of 100 that also start earlier.
+ORACLES["op4_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM d WHERE length(x) >= 200)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, coalesce(p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, true) AS fresh FROM r),
+k AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+c AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM k GROUP BY doc_id, span),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS open FROM c),
+t AS (SELECT e.doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(x, 2 * open + 1, 2 * (a - open)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op10_automaton_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, p, words[p + 1 : p + 20] AS s FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS p FROM d WHERE len(words) >= 20)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, p + i AS at FROM r, range(0, 20) AS o(i)),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM d),
+t AS (SELECT u.doc_id, count(*) AS n, count(gone.at) AS n_gone, string_agg(word, ' ' ORDER BY u.at) FILTER (gone.at IS NULL) AS kept FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.at = u.at GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(n_gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES["op6_quality_cascade"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•●▪]')) AS n_bullets
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+w AS (SELECT doc_id, p, words[p : p + 2] AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM d WHERE len(words) >= 3)),
+again AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + i) AS n_repeat_words FROM again, range(0, 3) AS o(i) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars / greatest(n_words, 1) < 2 OR word_chars / greatest(n_words, 1) > 15 OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR n_letter_words < 0.7 * n_words OR n_bullets > 0.9 * n_lines) AS kept FROM b
+"""
+
 ORACLES["op9_radix_dedup"] = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

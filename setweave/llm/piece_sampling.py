@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setweave.llm.common import pieces, texts
+from setweave.llm.remembered import Remembered, same_bytes
 from setweave.llm.repeats import U, mix, powers, prefix_hashes, run_hashes
 
 SPACE = "▁"
@@ -73,6 +74,7 @@ class Vocabulary:
         h = run_hashes(prefix, np.cumsum(size) - size, size)
         order = np.argsort(h)
         self.hashes, self.ids, self.weights = h[order], np.array([i for i, _ in plain])[order], weight[order]
+        self.raw, self.raw_at, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[order], size[order]
         # By a hash's upper bits: the one entry with them, -1 if there is none, -2 if there are several.
         slot = (self.hashes >> U(44)).astype(np.int64)
         self.slots = np.full(1 << 20, -1, np.int32)
@@ -87,7 +89,7 @@ class Vocabulary:
         probe = "a  b\tc\n d "
         self.plain = p.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.base: Lattices | None = None
-        self.unit_hashes, self.unit_numbers = np.zeros(0, U), np.zeros(0, np.int64)
+        self.units, self.unit_numbers = Remembered(), np.zeros(0, np.int64)
         flat, sizes = b"".join(self.bytes_of), np.fromiter(map(len, self.bytes_of), np.int64, n)
         self.flat, self.size, self.at = np.frombuffer(flat, np.uint8), sizes, np.cumsum(sizes) - sizes
 
@@ -102,23 +104,27 @@ class Vocabulary:
         out[(run_hashes(prefix_hashes(_SYMBOL[whole]), first[at], at - first[at]) >> U(44)).astype(np.int64)] = True
         return out
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
+    def find(self, h: np.ndarray, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each run raw[at : at + size] with hash ``h``, or -1: the hash finds it, the bytes decide."""
         entry = self.slots[(h >> U(44)).astype(np.int64)].astype(np.int64)
         several = np.flatnonzero(entry == -2)
         if len(several):
             entry[several] = np.minimum(np.searchsorted(self.hashes, h[several]), len(self.hashes) - 1)
         some = np.flatnonzero(entry >= 0)
-        entry[some[self.hashes[entry[some]] != h[some]]] = -1
+        entry[some[(self.hashes[entry[some]] != h[some]) | (self.raw_size[entry[some]] != size[some])]] = -1
+        some = np.flatnonzero(entry >= 0)
+        entry[some[~same_bytes(raw, at[some], self.raw, self.raw_at[entry[some]], size[some])]] = -1
         return entry
 
     def lattices(self, units: pa.Array) -> tuple[Lattices, np.ndarray]:
         """Lattices that include those of these units, and each unit's number there. The first ``REMEMBERED`` units are kept for later batches."""
         _, offsets, data = units.buffers()
         at = np.frombuffer(offsets, np.int32, len(units) + 1).astype(np.int64)
-        h = run_hashes(prefix_hashes(_SYMBOL[np.frombuffer(data, np.uint8, at[-1])]), at[:-1], np.diff(at)) if len(units) else np.zeros(0, U)
-        place = np.minimum(np.searchsorted(self.unit_hashes, h), max(0, len(self.unit_hashes) - 1))
-        known = self.unit_hashes[place] == h if len(self.unit_hashes) else np.zeros(len(h), bool)
+        raw = np.frombuffer(data, np.uint8, at[-1]) if len(units) and at[-1] else np.zeros(0, np.uint8)
+        begin, size = at[:-1], np.diff(at)
+        h = run_hashes(prefix_hashes(_SYMBOL[raw]), begin, size) if len(units) else np.zeros(0, U)
+        place = self.units.find(h, raw, begin, size)
+        known = place >= 0
         number, new = np.zeros(len(h), np.int64), np.flatnonzero(~known)
         number[known] = self.unit_numbers[place[known]]
         before = 0 if self.base is None else len(self.base.root)
@@ -131,9 +137,8 @@ class Vocabulary:
             lat = lat if self.base is None else self.base.followed_by(lat)
         if len(new) and len(lat.root) <= REMEMBERED:
             self.base = lat
-            order = np.argsort(h[new])
-            spot = np.searchsorted(self.unit_hashes, h[new][order])
-            self.unit_hashes, self.unit_numbers = np.insert(self.unit_hashes, spot, h[new][order]), np.insert(self.unit_numbers, spot, number[new][order])
+            first = self.units.add(h[new], raw, begin[new], size[new])
+            self.unit_numbers = np.concatenate((self.unit_numbers, number[new[first]]))
         if len(far):
             lat = lat.followed_by(Lattices(self, pa.concat_arrays([units.take(pa.array(far))])))
         return lat, number
@@ -193,7 +198,7 @@ class Lattices:
             if not len(char):
                 break
             h = (prefix[border[char + n]] - here[char]) * scale[char]
-            entry = v.find(h)
+            entry = v.find(h, raw, lead[char], border[char + n] - lead[char])
             ok = entry >= 0
             found.append((n, char[ok], entry[ok]))
             char = char[v.begins[(h >> U(44)).astype(np.int64)]]

@@ -2,7 +2,7 @@
 
 A document is kept if no rule rejects it. Rules are run one after another on what the ones before have
 left, so the order matters for cost only, never for the verdict. Each rule is first timed, and its rejections
-are counted, on a bounded sample (``SAMPLE`` documents); rules run in descending order of the share rejected per
+are counted, on a random sample (about ``SAMPLE`` documents); rules run in descending order of the share rejected per
 second. All rules work on whole record batches, by array arithmetic over the bytes of the texts.
 
 Defined results: a null or empty text has no word, so all counts are 0 and the base rule rejects it; a
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setweave.llm.common import pieces, texts
@@ -198,7 +199,9 @@ def cascade(column: pa.Array, order: list[str], rules: dict[str, Callable] = RUL
 
 
 def _order(docs: DataFrame, text_col: str) -> list[str]:
-    return order_rules(docs.select(text_col).limit(SAMPLE).toArrow().column(0).combine_chunks())
+    """The rules in the order that a random sample of about ``SAMPLE`` documents, from all parts of the table, suggests."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    return order_rules(docs.select(F.col(text_col).cast("string").alias("text")).sample(share, seed=42).toArrow().column(0).combine_chunks())
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

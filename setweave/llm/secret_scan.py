@@ -183,9 +183,9 @@ class Forest:
 
 
 def train(labelled: DataFrame, **options) -> Forest:
-    """A forest of at most ``LABELLED`` labelled findings (the first in order of their words)."""
+    """A forest of at most ``LABELLED`` labelled findings (those of smallest hash)."""
     run = F.regexp_extract("word", RUN, 0)
-    rows = labelled.filter(F.length(run) > 0).orderBy("word").limit(LABELLED).select(*(c.alias(n) for n, c in features(run, F.col("word"), F.col("before"), F.col("after")).items()), F.col("label").cast("int").alias("label")).collect()
+    rows = labelled.filter(F.length(run) > 0).orderBy(F.xxhash64("word", "before", "after"), "word").limit(LABELLED).select(*(c.alias(n) for n, c in features(run, F.col("word"), F.col("before"), F.col("after")).items()), F.col("label").cast("int").alias("label")).collect()
     names = list(rows[0].asDict())[:-1]
     x = np.array([[float(r[n]) for n in names] for r in rows])
     return Forest(names, x, np.array([r["label"] for r in rows]), **options)

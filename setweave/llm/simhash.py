@@ -11,7 +11,7 @@ bucket's links a spanning forest is kept, which loses no connection and grows wi
 A bucket of over ``HOT`` members is dealt out as pairs of blocks, so no task gets it whole.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero; fewer words than a shingle
-needs make one shingle; repeated rows share a class; null ids sort first; an empty table gives an empty result.
+needs make one shingle; repeated rows share a class; a null id never names a class that has another, and a class without any other has a null name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from setweave.llm.common import pieces, remove, save, texts
+from setweave.llm.remembered import Remembered
 from setweave.llm.repeats import mix, prefix_hashes, run_hashes
 
 BLOCK, STRIDE = 1 << 16, 128
@@ -57,25 +58,26 @@ class PieceEncoder:
     Such a tokenizer parts text where white space begins, between letters and punctuation, and after a line break that is the only white space there, and never joins
     across; so what is between two such places is encoded alike alone and in its text. A place counts only if both characters are surely of these
     kinds (no apostrophe, which may begin a contraction). A run of white space stays with what follows, on which its parting depends; and no place in or
-    beside an added token counts. The ids of at most ``CACHE`` pieces are remembered, by 64-bit hashes.
+    beside an added token counts. The ids of at most ``CACHE`` pieces are remembered. A piece is found by a 64-bit hash, but its own bytes decide: one whose
+    bytes are not those remembered for its hash is encoded anew.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.hashes, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.seen = Remembered()
 
-    def _remember(self, h: np.ndarray, pieces_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _remember(self, h: np.ndarray, pieces_: pa.Array, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode new pieces; where each one's ids are, in the array returned."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces_.to_pylist(), add_special_tokens=False)]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))))
         at = len(self.flat) + np.cumsum(size) - size
-        if len(self.hashes) < CACHE:
-            order = np.argsort(h)
-            place = np.searchsorted(self.hashes, h[order])
-            self.hashes, self.at, self.size = (np.insert(x, place, y[order]) for x, y in ((self.hashes, h), (self.at, at), (self.size, size)))
+        if len(self.seen.hashes) < CACHE:
+            order = self.seen.add(h, raw, start, length)
+            self.at, self.size = np.concatenate((self.at, at[order])), np.concatenate((self.size, size[order]))
             self.flat = flat
         return at, size, flat
 
@@ -105,14 +107,16 @@ class PieceEncoder:
         values = pa.concat_arrays([parts.dictionary])
         _, offsets, own = values.buffers()
         start = np.frombuffer(offsets, np.int32, len(values) + 1).astype(np.int64)
-        h = run_hashes(prefix_hashes(_SYMBOL[np.frombuffer(own, np.uint8, start[-1])]), start[:-1], np.diff(start))
-        place = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        known = self.hashes[place] == h if len(self.hashes) else np.zeros(len(h), bool)
+        spelled, length = np.frombuffer(own, np.uint8, start[-1]), np.diff(start)
+        start = start[:-1]
+        h = run_hashes(prefix_hashes(_SYMBOL[spelled]), start, length)
+        place = self.seen.find(h, spelled, start, length)
+        known = place >= 0
         at, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         at[known], size[known] = self.at[place[known]], self.size[place[known]]
         flat, new = self.flat, np.flatnonzero(~known)
         if len(new):
-            at[new], size[new], flat = self._remember(h[new], values.take(pa.array(new)))
+            at[new], size[new], flat = self._remember(h[new], values.take(pa.array(new)), spelled, start[new], length[new])
         code = parts.indices.to_numpy(zero_copy_only=False)
         each = size[code]
         upto = np.cumsum(each)

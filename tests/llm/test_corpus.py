@@ -17,6 +17,7 @@ import corpus_pipeline
 from setweave.llm import catalog, class_lm, exact_dedup, mixing, piece_sampling, quality, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, token_files
 from setweave.llm.common import scratch
 from setweave.llm.components import components
+from setweave.llm.remembered import Remembered
 from tests.compare import duck_rows, spark_rows
 from tests.llm import brute
 
@@ -220,6 +221,27 @@ def stays(found):
     return sorted((key(r["id"]), r["n"], sum(b - a for a, b in r["spans"]), bytes(r["kept"])) for r in found.collect())
 
 
+def test_documents_are_included_as_often_as_their_probabilities_say(spark):
+    """Probabilities that give the part's words, none above 1, and as many documents of each size taken as expected, but for chance."""
+    size = F.element_at(F.array(*(F.lit(n) for n in (1, 10, 60, 200, 2000))), (F.col("id") % 5 + 1).cast("int"))
+    df = spark.range(6000).select(F.when(F.col("id") % 10 < 5, F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"), F.concat(F.repeat(F.lit("w "), size - 1), F.col("id").cast("string")).alias("text"))
+    for power in (0.5, 0.0):
+        found = mixing.mixture(df, weights=(1.0, 3.0), budget=0.6, length_power=power, carry=("source",)).collect()
+        for source in "ab":
+            rows = [r for r in found if r["carried"]["source"] == source]
+            assert sum(r["inclusion"] * r["size"] for r in rows) == pytest.approx(rows[0]["target"], rel=1e-6)
+            assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1000  # half the largest document
+            by_size = collections.defaultdict(list)
+            for r in rows:
+                assert 0 < r["inclusion"] <= 1
+                by_size[r["size"]].append((r["inclusion"], r["copies"]))
+            for own in by_size.values():
+                expected, n = own[0][0], len(own)
+                assert abs(sum(c for _, c in own) - n * expected) <= 4 * math.sqrt(n * expected * (1 - expected)) + 2
+    with_larger = {r["size"]: r["inclusion"] for r in mixing.mixture(df, weights=(1.0,), budget=0.98).collect()}
+    assert with_larger[2000] == 1.0 and sorted(with_larger.values()) == [with_larger[n] for n in sorted(with_larger)]
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_repeated_strings_go(docs, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
@@ -417,6 +439,31 @@ def test_token_files(spark, docs):
     assert [key(r["id"]) for r in got] == sorted(key(r["id"]) for r in got)
 
 
+def test_pieces_of_one_hash_are_told_apart():
+    """Thue-Morse words have equal polynomial hashes modulo 2^64 for any base: an encoder that met one must not give its ids for the other."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    encode, one = token_files.PieceEncoder(BPE), token_files.PieceEncoder(BPE)
+    first, second = (encode(pa.array([w]))[0].tolist() for w in words)
+    assert first != second and second == one(pa.array([words[1]]))[0].tolist() and encode(pa.array(words))[0].tolist() == first + second
+    assert encode.tokenizer.decode(second) == words[1]
+    v = piece_sampling.Vocabulary(PIECES)
+    lone, number = piece_sampling.Vocabulary(PIECES).lattices(pa.array(words[1:]))
+    for w in words:
+        lat, number = v.lattices(pa.array([w]))
+    assert np.array_equal(lat.ids[lat.edge_at[lat.root[number[0]]] : lat.edge_at[lat.final[number[0]]]], lone.ids)
+
+
+def test_remembered_strings_of_one_hash():
+    seen = Remembered()
+    raw = np.frombuffer(b"onetwosix", np.uint8)
+    at, n, h = np.array([0, 3, 6]), np.array([3, 3, 3]), np.array([5, 5, 9], np.uint64)
+    assert seen.find(h, raw, at, n).tolist() == [-1, -1, -1]
+    assert seen.add(h, raw, at, n).tolist() == [0, 2]
+    assert seen.find(h, raw, at, n).tolist() == [0, -1, 1]
+    assert seen.add(h[1:2], raw, at[1:2], n[1:2]).tolist() == [] and seen.find(h, raw, at, n).tolist() == [0, -1, 1]
+
+
 def test_pieces_encode_as_whole_texts():
     texts = [t for _, t, *_ in ROWS if t] + ["it's 'tis  ok \n\n x\n y", "a\x1cb \x1c c", "foo\n\n\nbar  \n baz", "l'S 've'LL", "　全角　空白 x", "a  b"]
     ids, sizes = token_files.PieceEncoder(BPE)(pa.array(texts))
