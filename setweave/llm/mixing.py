@@ -11,8 +11,8 @@ which sizes times probabilities add up to the need; it follows from a table of t
 seed, id and text, and are taken in order of rank until the need is reached; those with p = 1 come first. Of the
 documents not taken, the one that best closes the remaining gap is taken too. ``inclusion`` is whole + p, the expected number of copies.
 
-A source may hold most rows. Sizes and ranks are therefore counted first, ranks in ``BINS`` bins (partial aggregation);
-only the bin in which the cut falls is sorted. The cut and the closing document, one row per source, are all
+A source may hold most rows. Sizes and ranks are therefore counted first, ranks in 1024 wide bins and then, where the cut falls, in 1024 finer ones (partial aggregation);
+only the fine bin in which the cut falls is sorted. The cut and the closing document, one row per source, are all
 that selection needs, and rows are decided on their own values.
 
 Defined results: a null text has size 0, and a document of size 0 takes 0 words; null is a source of its
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from setweave.llm.common import maybe_broadcast, ordinal, save, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BINS = 1 << 18
+BINS, FINE = 1 << 20, 10
 
 
 def uniform(seed: int, *cols: Column) -> Column:
@@ -104,10 +104,18 @@ def mixture(
         odds = u / (1 - u) * (1 - p)
         return joined.withColumn("p", F.coalesce(p, F.lit(0.0))).withColumn("rank", F.coalesce(odds / (odds + p), F.lit(1.0))).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
 
-    histogram = ranked(slim, shares).filter("need > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    cut_bin = histogram.withColumn("upto", running).filter("upto >= need").groupBy("source").agg(F.min(F.struct("bin", "upto", "words")).alias("c"))
-    cut_bin = save(cut_bin.select("source", F.col("c.bin").alias("cut_bin"), (F.col("c.upto") - F.col("c.words")).alias("below")), "mix-bins")
+    def cut_in(found: DataFrame, name: str) -> DataFrame:
+        """Of (source, bin, words, need, before): the bin in which the words, with those before, reach the need, and the words below it."""
+        running = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
+        first = found.withColumn("upto", running).filter("upto >= need").groupBy("source").agg(F.min(F.struct("bin", "upto", "words")).alias("c"))
+        return first.select("source", F.col("c.bin").alias(name), (F.col("c.upto") - F.col("c.words")).alias("below"))
+
+    rows = ranked(slim, shares).filter("need > 0").select("source", "size", "need", "bin")
+    wide = rows.groupBy("source", F.shiftright("bin", FINE).alias("bin")).agg(F.sum("size").alias("words"), F.first("need").alias("need")).withColumn("before", F.lit(0))
+    high = save(cut_in(wide, "high").withColumnRenamed("source", "__high"), "mix-high")
+    inner = rows.join(maybe_broadcast(high), F.col("source").eqNullSafe(F.col("__high")) & (F.shiftright("bin", FINE) == F.col("high")))
+    fine = inner.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("below").alias("before"))
+    cut_bin = save(cut_in(fine, "cut_bin"), "mix-bins")
 
     def beside(rows: DataFrame, side: DataFrame) -> DataFrame:
         side = side.withColumnRenamed("source", "__side")
