@@ -97,9 +97,14 @@ def read_fastx(spark: SparkSession, path: str | list[str], strict: bool = False)
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, RECORDS)
 
 
+def _any_case(suffix: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix.lower())
+
+
 def read_folder(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
-    """Records of all sequence files of a folder; order by ``lower(file)``, ``rec_no`` for name order."""
-    return read_fastx(spark, [f"{folder}/*{{{','.join(x.lstrip('.') for x in FASTA + FASTQ)}}}*"], strict)
+    """Records of all sequence files of a folder, told by their suffixes in any case, also with .gz; order by ``lower(file)``, ``rec_no`` for name order."""
+    names = [_any_case(x.lstrip(".")) for x in dict.fromkeys(x.lower().removesuffix(".gz") for x in FASTA + FASTQ)]
+    return read_fastx(spark, [f"{folder}/*.{{{','.join([*names, *(f'{n}.[gG][zZ]' for n in names)])}}}"], strict)
 
 
 def read_tokens(spark: SparkSession, path: str | list[str], sep: str = "\n") -> DataFrame:

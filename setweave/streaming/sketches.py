@@ -58,10 +58,20 @@ def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is and return its result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", fresh_folder(stream.sparkSession, name)).trigger(availableNow=True).start()
+    """Run a stream over what there is and return its result, a table in the shared folder: in complete mode that of the last batch, in append mode all."""
+    if mode not in ("complete", "append"):
+        raise ValueError("complete or append mode")
+    spark = stream.sparkSession
+    folder, done = fresh_folder(spark, name), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/{number}")
+        done.append(number)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    paths = [f"{folder}/result/{n}" for n in (sorted(set(done)) if mode == "append" else done[-1:])]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
