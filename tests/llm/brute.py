@@ -117,3 +117,16 @@ def unigram(rows):
 
 def sha(raw):
     return hashlib.sha256(raw).hexdigest()
+
+
+def findings(text):
+    """(word number, part, finding) of a text, word by word."""
+    naming = r"(?i:key|secret|token|passw|passphrase|pwd|credential|auth|bearer)[A-Za-z0-9_\-]{0,40}+[\"')\]]{0,3}+ ?(?::=|=>|[=:])"
+    value = r"[\"']?([^ \t\n\v\f\r\"'<>(){}\[\],;&]{6,})"
+    words = re.split(r"[\x20\x09-\x0D]+", text or "")
+    for no, word in enumerate(words):
+        before = " ".join([words[no - d] if no >= d else "" for d in (3, 2, 1)])
+        m = re.search(naming + value, word) or (re.match(value, word) if re.search(naming + "$", before) else None)
+        found = re.sub("[.:]+$", "", m[1]) if m else ""
+        runs = [r for r in re.findall(r"[A-Za-z0-9+/_\-]{16,}={0,2}", word) if re.search("[0-9]", r) or re.search("[a-z][A-Z]", r) and re.search("[A-Z]{2}", r)]
+        yield from ((no, part, f) for part, f in enumerate([f for f in [found] if len(f) >= 6] + [r for r in runs if r not in found]))
