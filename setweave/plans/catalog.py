@@ -554,3 +554,12 @@ def stream_counts(spark, sf_dir):
     per_user = streams.run_to_end(events.groupBy("event_type", "user_id").agg(F.count("*").alias("n")), "stream_event_counts")
     return per_user.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
 
+
+
+@query(f"""WITH d AS (SELECT DISTINCT lpad(event_id::VARCHAR, 15, '0') AS token FROM events), {sql.murmur_x64("h", "d", sql.bytes_of("token", 1, 8), sql.bytes_of("token", 9, 7), 15, "42", "*")},
+b AS (SELECT DISTINCT {_SWAP} AS v FROM h), k AS (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM b QUALIFY rank <= {S})
+SELECT rank::INT AS rank, lpad(lower(hex(v::UBIGINT)), 16, '0') AS h FROM k""")
+def stream_bottom(spark, sf_dir):
+    """The smallest hashes of the events' numbers, from their stream."""
+    tokens = streams.read_table_stream(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 15, "0").alias("token"))
+    return streams.run_to_end(streams.stream_bottom(tokens, S), "stream_bottom", "update").select("rank", F.lower(F.hex("h")).alias("h"))

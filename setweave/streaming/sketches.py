@@ -6,18 +6,21 @@ store makes each micro-batch count once, also when it is run again.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from setweave.functions import dna
-from setweave.functions.hashing import little_endian, murmur128
 from setweave.functions.planning import IbltSpec
 from setweave.functions.session import fresh_folder
 from setweave.operators.iblt import addresses
+from setweave.operators.minhash import least_of_batches
 
 
 def stream_cells(tokens: DataFrame, spec: IbltSpec, sign: Column | None = None) -> DataFrame:
@@ -45,10 +48,23 @@ def stream_distinct(tokens: DataFrame, event_time: str | None = None, late: str
     return tokens.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["token"])
 
 
-def stream_bottom(tokens: DataFrame, s: int, seed: int = 42) -> DataFrame:
-    """(hs): the s smallest different hashes so far, for the complete mode, as one row."""
-    hashed = tokens.select(little_endian(murmur128(F.col("token"), seed)["lo"]).alias("h"))
-    return hashed.groupBy().agg(F.slice(F.array_sort(F.collect_set("h")), 1, s).alias("hs"))
+def stream_bottom(tokens: DataFrame, s: int, width: int = 8, seed: int = 42) -> DataFrame:
+    """(rank, h): the s smallest different hashes so far, those of ``minhash.sketch``, whole after each batch, for the update mode.
+
+    The state is s hashes, whatever the stream's length; batches are cut to their s smallest before they meet.
+    """
+
+    def merge(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = bytes(state.get[0]) if state.exists else b""
+        have = {kept[i : i + width] for i in range(0, len(kept), width)}
+        for f in frames:
+            have = set(heapq.nsmallest(s, have.union(map(bytes, f["h"]))))
+        hs = sorted(have)
+        state.update((b"".join(hs),))
+        yield pd.DataFrame({"rank": np.arange(1, len(hs) + 1, dtype=np.int32), "h": hs})
+
+    least = least_of_batches(tokens, s, width, seed).withColumn("all", F.lit(0))
+    return least.groupBy("all").applyInPandasWithState(merge, "rank int, h binary", "hs binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -58,15 +74,16 @@ def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is and return its result, a table in the shared folder: in complete mode that of the last batch, in append mode all."""
-    if mode not in ("complete", "append"):
-        raise ValueError("complete or append mode")
+    """Run a stream over what there is and return its result, a table in the shared folder: in complete mode that of the last batch, in update mode that of the last batch with rows, in append mode all."""
+    if mode not in ("complete", "update", "append"):
+        raise ValueError("complete, update or append mode")
     spark = stream.sparkSession
     folder, done = fresh_folder(spark, name), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result/{number}")
-        done.append(number)
+        if mode != "update" or not spark.read.schema(stream.schema).parquet(f"{folder}/result/{number}").isEmpty():
+            done.append(number)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:

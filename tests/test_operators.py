@@ -334,3 +334,17 @@ def test_check_length(spark):
         fragments.check_length(tokens(spark, ["ACGT"]), 3).collect()
     assert values(fragments.valid_tokens(tokens(spark, ["AN", "ACGT", "AC"]), 3)) == ["AC"]
     assert re.fullmatch("ok", "ok")
+
+
+def test_streamed_bottom_keeps_the_smallest_over_batches(spark, tmp_path):
+    from setweave.streaming import sketches
+
+    folder = tmp_path / "files"
+    for i in range(3):
+        spark.createDataFrame([(f"t{n % 70}x{i}",) for n in range(200)], "token string").coalesce(1).write.mode("append").parquet(str(folder))
+    everything = spark.read.parquet(str(folder))
+    stream = spark.readStream.schema("token string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    for s in (1, 20, 1000):
+        got = sketches.run_to_end(sketches.stream_bottom(stream, s), "bottom", "update")
+        want = minhash.sketch(everything, s)
+        assert sorted((r["rank"], bytes(r["h"])) for r in got.collect()) == sorted((r["rank"], bytes(r["h"])) for r in want.collect())
