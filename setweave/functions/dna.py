@@ -5,6 +5,8 @@ Everything here is built-in Spark functions. Additions stay below 2^63 under a m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,28 @@ def unpack(key: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(F.shiftrightunsigned(key, bits).cast("string"), 10, 4), length, "0"), "0123", "ACGT")
 
 
+def _word_bases(length: int) -> list[int]:
+    """Bases in each word of a packed key, with those that fill its last byte: 32 in all words but the first."""
+    whole = 4 * key_bytes(length)
+    later = (whole - 1) // 32
+    return [whole - 32 * later, *[32] * later]
+
+
+def pack_words(token: Column, length: int) -> list[Column]:
+    """``pack`` for any length: a long for each eight bytes of the key, the first the highest."""
+    digits = F.rpad(F.translate(F.upper(token), "ACGTU", "01233"), 4 * key_bytes(length), "0")
+    out, at = [], 1
+    for n in _word_bases(length):
+        out.append(F.conv(F.substring(digits, at, n), 4, -10).cast("long"))
+        at += n
+    return out
+
+
+def unpack_words(words: list[Column], length: int) -> Column:
+    parts = (F.lpad(F.conv(F.hex(w), 16, 4), n, "0") for w, n in zip(words, _word_bases(length), strict=True))
+    return F.translate(F.substring(F.concat(*parts), 1, length), "0123", "ACGT")
+
+
 def spelled(code_: Column, length: int) -> Column:
     """The bases of a code of ``code``."""
     return F.translate(F.lpad(F.conv(code_.cast("string"), 10, 4), length, "0"), "0123", "ACGT")
@@ -122,6 +146,15 @@ def minimizer_offset(token: Column, k: int, m: int, seed: int = 42) -> Column:
     return F.array_position(hashes, F.array_min(hashes)) - 1
 
 
+def minimizer_and_rest(token: Column, m: int, hasher: Callable[[Column], Column]) -> Column:
+    """struct<minimizer, rest>: the leftmost m-mer of the smallest hash, and the token with a bar in its place; null if the token is shorter than m."""
+    hashes = F.transform(F.sequence(F.lit(1), F.length(token) - m + 1), lambda i: hasher(token.substr(i, F.lit(m))))
+    # Bound as a variable, so that the hashes are taken once.
+    at = F.transform(F.array(hashes), lambda h: F.array_position(h, F.array_min(h)).cast("int"))
+    found = F.transform(at, lambda i: F.struct(token.substr(i, F.lit(m)).alias("minimizer"), F.concat(token.substr(F.lit(1), i - 1), F.lit("|"), token.substr(i + m, F.length(token))).alias("rest")))
+    return F.when(F.length(token) >= m, F.element_at(found, 1))
+
+
 def stays_syncmer(token: Column, k: int, m: int, seed: int = 42) -> Column:
     """Whether the leftmost smallest m-mer of a token is its first or its last."""
     at = minimizer_offset(token, k, m, seed)
@@ -141,6 +174,12 @@ def human_number(x: Column) -> Column:
     return out
 
 
+def time_magnitude(ns: Column) -> Column:
+    """0 to 3 for nanoseconds to seconds: how often a time can be divided by 1000 before it is at most 1000."""
+    x = ns.cast("double")
+    return F.when(x > 1e6 * 1000, 3).when(x > 1e3 * 1000, 2).when(x > 1000, 1).otherwise(0)
+
+
 def number(x: Column) -> Column:
     """A double where the text is a number, else null."""
     return x.try_cast("double")

@@ -58,6 +58,11 @@ class IbltSpec:
     def wsize(self) -> int:
         return (2 * self.length + 7) // 8
 
+    @property
+    def words(self) -> list[str]:
+        """Columns of a packed key: one long for each eight of its bytes, the first the highest."""
+        return ["key", *(f"key{i}" for i in range(1, (self.wsize + 7) // 8))]
+
     @property
     def seeds(self) -> list[int]:
         return [self.seed + i for i in range(self.r)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions.planning import IbltSpec, UnpeelableError
 from setweave.functions.session import checkpointed
-from setweave.operators.iblt import _cells, addresses_of, peel
+from setweave.operators.iblt import _cells, addresses_of, key_of, peel
 from setweave.operators.minhash import sketch
 
 #: A digest fills the 62 bits of a key of 31 bases.
@@ -43,7 +43,7 @@ def reconcile(tokens: DataFrame, n: int, *, side: str = "side", name: str = "nam
     keys = checkpointed(duplicates(digests(sketch(tokens, s, width, seed, (side, name)), side, name), side, name))
     spec = IbltSpec(DIGEST_LENGTH, n, r, epsilon, seed)
     unique = keys.filter("not is_duplicate").select("key", F.when(F.col(side) == "i", F.lit(1)).otherwise(F.lit(-1)).cast("long").alias("counter"))
-    rows = unique.select("key", "counter", F.explode(addresses_of(F.col("key"), spec)).alias("a")).select("key", "counter", "a.row", "a.col")
+    rows = unique.select("key", "counter", F.explode(addresses_of(key_of(spec), spec)).alias("a")).select("key", "counter", "a.row", "a.col")
     cells = _cells(rows, spec, ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

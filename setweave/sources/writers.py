@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,9 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 def sketch_bytes(cells: DataFrame, spec: IbltSpec) -> bytes:
     """A sketch as its file; its size follows from ``spec``, not from the data."""
-    found = {(r["row"], r["col"]): (r["counter"], (r["key"] & (1 << 64) - 1).to_bytes(8, "big")[8 - spec.wsize :]) for r in cells.select("row", "col", "counter", "key").toLocalIterator()}
-    return pack_sketch(spec.r, spec.epsilon, spec.chunk, spec.length, spec.seeds, found)
+    found = cells.select("row", "col", "counter", *spec.words).toArrow()
+    row, col, counter, *words = (found.column(c).to_numpy() for c in found.column_names)
+    return pack_sketch(spec.r, spec.epsilon, spec.chunk, spec.length, spec.seeds, row, col, counter, np.stack(words, axis=1))
 
 
 def minhash_bytes(sketch: DataFrame, seed: int) -> bytes:

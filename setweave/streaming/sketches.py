@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from setweave.functions import dna
 from setweave.functions.planning import IbltSpec
 from setweave.functions.session import fresh_folder
-from setweave.operators.iblt import addresses
+from setweave.operators.iblt import addresses, packed_words
 from setweave.operators.minhash import least_of_batches
 
 
@@ -27,18 +27,20 @@ def stream_cells(tokens: DataFrame, spec: IbltSpec, sign: Column | None = None)
     """Cells over all tokens so far, for the update or complete mode. A token may come once (with sign -1, be taken out again)."""
     token = F.col("token")
     kept = tokens.filter(dna.is_genomic(token) & (F.length(token) == spec.length))
-    rows = kept.select(dna.pack(token, spec.length).alias("key"), (F.lit(1) if sign is None else sign).cast("long").alias("counter"))
+    rows = kept.select(*packed_words(token, spec), (F.lit(1) if sign is None else sign).cast("long").alias("counter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            words = [b.column(w).to_numpy(zero_copy_only=False).astype(np.int64) for w in spec.words]
             counter = b.column("counter").to_numpy(zero_copy_only=False)
-            cols = addresses(key.view(np.uint64), spec)
-            row = np.tile(np.arange(spec.r, dtype=np.int32), len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cols.ravel()), pa.array(np.repeat(counter, spec.r)), pa.array(np.repeat(key, spec.r))], names=["row", "col", "counter", "key"])
-
-    cells = rows.mapInArrow(run, "row int, col bigint, counter bigint, key bigint")
-    return cells.groupBy("row", "col").agg(F.sum("counter").alias("counter"), F.bit_xor("key").alias("key"))
+            keys = np.stack(words, axis=1) if len(words) > 1 else words[0]
+            cols = addresses(keys.view(np.uint64), spec)
+            row = np.tile(np.arange(spec.r, dtype=np.int32), len(keys))
+            each = (pa.array(np.repeat(x, spec.r)) for x in (counter, *words))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cols.ravel()), *each], names=["row", "col", "counter", *spec.words])
+
+    cells = rows.mapInArrow(run, ", ".join(["row int, col bigint, counter bigint", *(f"{w} bigint" for w in spec.words)]))
+    return cells.groupBy("row", "col").agg(F.sum("counter").alias("counter"), *(F.bit_xor(w).alias(w) for w in spec.words))
 
 
 def stream_distinct(tokens: DataFrame, event_time: str | None = None, late: str = "10 minutes") -> DataFrame:

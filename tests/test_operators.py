@@ -287,6 +287,64 @@ def test_sketch_files(spark, tmp_path):
     assert sorted((r["lo"], r["hi"]) for r in readers.read_weighted(spark, f"{tmp_path}/w.bin").collect()) == sorted((r["lo"], r["hi"]) for r in w.collect())
 
 
+def test_keys_of_several_words(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    for n in (32, 33, 41, 64, 70):
+        pool = [random_dna(n, i) for i in range(160)] + ["T" * n, "A" * n, "G" + "A" * (n - 1)]
+        packed = tokens(spark, pool).select("token", F.array(*dna.pack_words(F.col("token"), n)).alias("w"), dna.unpack_words(dna.pack_words(F.col("token"), n), n).alias("u")).collect()
+        whole = 4 * dna.key_bytes(n)
+        for r in packed:
+            value = 0
+            for w in r["w"]:
+                value = value << 64 | w & (1 << 64) - 1
+            assert r["u"] == r["token"] and value == int(r["token"].ljust(whole, "A").translate(str.maketrans("ACGT", "0123")), 4)
+        spec = planning.IbltSpec(n, 100, epsilon=0.6, check=n == 41)
+        i, j = set(pool[:130]), set(pool[30:])
+        ca, cb = iblt.build(tokens(spark, sorted(i)), spec), iblt.build(tokens(spark, sorted(j)), spec)
+        gone = iblt.difference(ca, cb, spec)
+        want = {("i", t) for t in i - j} | {("j", t) for t in j - i}
+        assert {(r["side"], r["token"]) for r in iblt.list_keys(gone, spec).collect()} == want
+        if n == 41:
+            assert {tuple(r) for r in iblt.list_keys_in_rounds(gone, spec).collect()} == want
+            key = {r["key_hex"] for r in iblt.dump(iblt.build(tokens(spark, ["G" + "A" * 39 + "C"]), spec), spec).collect()}
+            assert key == {"80" + "00" * 9 + "40"}
+        writers.write_bytes(spark, f"file://{tmp_path}/{n}.bin", writers.sketch_bytes(ca, spec))
+        back = readers.read_sketches(spark, f"{tmp_path}/{n}.bin", spec.wsize)
+        columns = ["row", "col", "counter", *spec.words]
+        assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, ca.select(columns).collect()))
+
+
+def test_sketch_file_with_lengths_and_positions():
+    import struct
+
+    cells = b"".join(struct.pack(">q2sBI", c, k, n, p) for c, k, n, p in ((1, b"\x1b\x00", 5, 77), (0, b"\0\0", 0, 0), (-1, b"\0\x01", 8, 1 << 31), (2, b"\x1b\x01", 13, 3)))
+    head, found = readers.unpack_sketch(struct.pack(">BfQ", 2, 0.5, 2) + cells + struct.pack(">2I", 42, 43), 2, 1, 4)
+    assert head == {"repetitions": 2, "epsilon": 0.5, "chunk_size": 2, "key_len": None, "seeds": [42, 43]}
+    assert {c: v.ravel().tolist() for c, v in found.items()} == {"row": [0, 1, 1], "col": [0, 0, 1], "counter": [1, -1, 2], "words": [0x1B00, 1, 0x1B01], "len": [5, 8, 13], "pos": [77, 1 << 31, 3]}
+
+
+@pytest.mark.parametrize("version", [0, 0x200])
+def test_database_versions_and_lookups(spark, tmp_path, version):
+    kmers = {random_dna(36, i): 1 + i for i in range(300)}
+    pre, suf = readers.pack_database(kmers, 36, version=version)
+    (tmp_path / "d.kmc_pre").write_bytes(pre)
+    (tmp_path / "d.kmc_suf").write_bytes(suf)
+    assert {r["token"]: r["cnt"] for r in readers.read_databases(spark, f"{tmp_path}/d.kmc_pre").collect()} == kmers
+    assert sum(b.num_rows for b in readers.unpack_database(pre, suf, 5, 204, at_once=7)) == 200
+    info = readers.read_database_info(spark, f"{tmp_path}/d.kmc_pre").first()
+    assert (info["version"], info["kmer_length"], info["total_kmers"], info["min_count"], info["both_strands"]) == (version, 36, 300, 1, True)
+    assert all(readers.find_in_database(pre, suf, t) == c for t, c in kmers.items())
+    t, c = next(iter(kmers.items()))
+    assert readers.find_in_database(pre, suf, t, c + 1) == 0 == readers.find_in_database(pre, suf, t[1:] + "N") == readers.find_in_database(pre, suf, "A" * 36)
+
+
+def test_distances_and_lengths(spark, tmp_path):
+    (tmp_path / "d.tsv").write_text("a.fa\tb.fa\t0.1\t0\t250/1000\na.fa\tc.fa\t1\t1\t0/0\n")
+    got = readers.read_distances(spark, str(tmp_path / "d.tsv"))
+    assert sorted(map(tuple, got.collect())) == [("a.fa", "b.fa", 0.25), ("a.fa", "c.fa", None)]
+    assert readers.token_length(tokens(spark, ["ACG"])) == 3 and readers.token_length(tokens(spark, [])) is None
+
+
 def test_count_database(spark, tmp_path):
     kmers = {random_dna(16, i): 1 + i for i in range(200)}
     pre, suf = readers.pack_database(kmers, 16)
