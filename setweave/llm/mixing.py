@@ -144,4 +144,6 @@ def mixture(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as it was taken, with its own columns."""
     rows = mixture(docs, id_col, text_col, source_col, carry=tuple(docs.columns), **options)
-    return rows.filter("copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"), "carried").select("carried.*")
+    # A filter on copies would move into the join and repeat the rank's expression there; rows without a copy are left out after they are dealt.
+    dealt = rows.select(F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy"), "carried")
+    return dealt.filter("__copy is not null").select("carried.*")
