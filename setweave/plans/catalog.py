@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions import dna, hashing
-from setweave.functions.planning import CELLS_PER_KEY, IbltSpec
-from setweave.functions.session import checkpointed
+from setweave.functions.planning import CELLS_PER_KEY, IbltSpec, sampled_size
+from setweave.functions.session import checkpointed, fresh_folder
 from setweave.operators import fragments, iblt, minhash, reconcile, reports, sets, simulate
 from setweave.plans import oracles as sql
 from setweave.plans.oracles import DNA, G, K, M, SIDES, Z
-from setweave.sources import writers
+from setweave.sources import readers, writers
 from setweave.streaming import sketches as streams
 
 QUERIES, ORACLES = {}, {}
@@ -353,18 +353,22 @@ def iblt_row_print(spark, sf_dir):
     return iblt.row_print(iblt.build(one_side(spark, sf_dir, "i"), SPEC, distinct=False), SPEC)
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, IbltSpec]:
-    """Both sides' tables, sized by an estimate of their difference and doubled until it can be listed."""
-    both = checkpointed(sets.membership(both_sides(spark, sf_dir)))
-    n = iblt.estimated_difference(both, bases=K)
+def _fitting(both: DataFrame, length: int, bases: int) -> tuple[DataFrame, DataFrame, IbltSpec]:
+    """Tables of the sides of (token, in_i, in_j), sized by an estimate of their difference and doubled until it can be listed."""
+    both = checkpointed(both)
+    n = iblt.estimated_difference(both, bases=bases)
     while True:
-        spec = IbltSpec(K, n, epsilon=0.6)
+        spec = IbltSpec(length, n, epsilon=0.6)
         cells = checkpointed(iblt.build(_by_side(both).select("side", "token"), spec, by=("side",), distinct=False))
         if iblt.fits(iblt.difference(_of(cells, "i"), _of(cells, "j"), spec), spec):
             return _of(cells, "i"), _of(cells, "j"), spec
         n *= 2
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, IbltSpec]:
+    return _fitting(sets.membership(both_sides(spark, sf_dir)), K, K)
+
+
 @query(ORACLES["symmetric_difference"])
 def iblt_list(spark, sf_dir):
     a, b, spec = _sized(spark, sf_dir)
@@ -563,3 +567,166 @@ def stream_bottom(spark, sf_dir):
     """The smallest hashes of the events' numbers, from their stream."""
     tokens = streams.read_table_stream(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 15, "0").alias("token"))
     return streams.run_to_end(streams.stream_bottom(tokens, S), "stream_bottom", "update").select("rank", F.lower(F.hex("h")).alias("h"))
+
+
+@query("SELECT DISTINCT user_id::VARCHAR AS token FROM events")
+def stream_distinct(spark, sf_dir):
+    tokens = streams.read_table_stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("token"))
+    return streams.run_to_end(streams.stream_distinct(tokens), "stream_users", "append")
+
+
+# Keys of several words
+
+K2, Z2, G2 = 31, 11, 10
+WIDE = K2 + G2
+
+
+@query(f"""WITH {DNA}, {SIDES}, {_SIDE_OF}, {sql.syncmers('q', K2, Z2)},
+e AS (SELECT doc_id, substr(seq, pos + 1, {WIDE}) AS token FROM q WHERE pos + {WIDE} < length(seq)
+  UNION ALL SELECT doc_id, substr(seq, 1, {WIDE}) FROM dna WHERE length(seq) >= {WIDE} UNION ALL SELECT doc_id, substr(seq, length(seq) - {WIDE} + 1) FROM dna WHERE length(seq) >= {WIDE}),
+t AS (SELECT DISTINCT side, token FROM e JOIN sd USING (doc_id) WHERE NOT contains(token, '.')) SELECT min(side) AS side, token FROM t GROUP BY token HAVING count(*) = 1""")
+def iblt_list_wide(spark, sf_dir):
+    """The difference of extended syncmers of 41 bases, from tables whose keys are two words."""
+    tokens = fragments.valid_tokens(fragments.syncmers(sided(spark, sf_dir), K2, Z2, G2).select("side", "token"))
+    a, b, spec = _fitting(sets.membership(tokens), WIDE, 0)
+    return iblt.list_any(iblt.difference(a, b, spec), spec).select("side", "token")
+
+
+# Files written and read back
+
+
+@query(CELLS + "SELECT * FROM a")
+def iblt_file(spark, sf_dir):
+    path = f"{fresh_folder(spark, 'sketch')}/i.bin"
+    writers.write_bytes(spark, path, writers.sketch_bytes(iblt.build(one_side(spark, sf_dir, "i"), SPEC, distinct=False), SPEC))
+    return readers.read_sketches(spark, path, SPEC.wsize).select("row", "col", "counter", "key")
+
+
+_WHOLE = sql.murmur_x64("h", "d", sql.bytes_of("token", 1, 8), sql.bytes_of("token", 9, 7), K, "42", "token")
+
+
+@query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), {_WHOLE}, b AS (SELECT DISTINCT {_SWAP} AS v FROM h), k AS (SELECT v, row_number() OVER (ORDER BY v) AS rank FROM b QUALIFY rank <= {S})
+SELECT rank::INT AS rank, lpad(lower(hex(v::UBIGINT)), 16, '0') AS h FROM k""")
+def minhash_file(spark, sf_dir):
+    path = f"{fresh_folder(spark, 'minhash')}/all.bin"
+    writers.write_bytes(spark, path, writers.minhash_bytes(minhash.sketch(packed(spark, sf_dir), S, bases=K), 42))
+    return readers.read_minhash(spark, path).select("rank", F.lower(F.hex("h")).alias("h"))
+
+
+_PAIRS_OUT = "SELECT source_i, source_j, count(*) AS seen, count(*) FILTER (c = 2) AS shared, round(count(*) FILTER (c = 2) / count(*), 9) AS jaccard"
+
+
+@query(ORACLES["minhash_pairs"].replace(_PAIRS_OUT, "SELECT source_i AS reference, source_j AS query, round(count(*) FILTER (c = 2) / count(*), 9) AS mhj"))
+def distance_table(spark, sf_dir):
+    path = fresh_folder(spark, "distances")
+    found = minhash.pairs(minhash.sketch(by_source(spark, sf_dir), S, by=("source",), bases=K), S, "source")
+    found.select("source_i", "source_j", F.lit(0.0), F.lit(0.0).alias("p"), F.concat_ws("/", "shared", "seen")).write.csv(path, sep="\t")
+    return readers.read_distances(spark, path).withColumn("mhj", F.round("mhj", 9))
+
+
+_RECORDS = f"WITH {DNA} SELECT doc_id, length(seq) AS n, md5(seq) AS digest FROM dna"
+
+
+def _written_records(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_folder(spark, "records")
+    writers.write_fasta(bases(spark, sf_dir), path, "seq", "doc_id")
+    return path
+
+
+def _digests(records: DataFrame) -> DataFrame:
+    return records.select(F.col("name").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+
+
+@query(_RECORDS)
+def fasta_file(spark, sf_dir):
+    return _digests(readers.read_fasta(spark, _written_records(spark, sf_dir)))
+
+
+@query(_RECORDS)
+def fastx_file(spark, sf_dir):
+    return _digests(readers.read_fastx(spark, _written_records(spark, sf_dir)))
+
+
+@query(COUNTS + "SELECT token, cnt FROM c WHERE cnt >= 5")
+def count_file(spark, sf_dir):
+    path = fresh_folder(spark, "counts")
+    writers.write_counts(sets.spelled(sets.token_counts(packed(spark, sf_dir)).filter("cnt >= 5"), K), path, ";")
+    return readers.read_counts(spark, path, ";")
+
+
+@query(KMERS + "SELECT DISTINCT token FROM w WHERE starts_with(token, 'ACG')")
+def token_file(spark, sf_dir):
+    path = fresh_folder(spark, "tokens")
+    writers.write_tokens(sets.spelled(sets.token_set(packed(spark, sf_dir)), K).filter(F.startswith("token", F.lit("ACG"))), path)
+    return readers.read_tokens(spark, path)
+
+
+# Small parts of the engine
+
+
+@query(KMERS + PER_DOC.format("w"))
+def minimizers_of_length_k(spark, sf_dir):
+    """Without a length, the minimizer of a k-mer is itself."""
+    return per_doc(fragments.minimizers(bases(spark, sf_dir), K, 0))
+
+
+@query(KMERS + PER_DOC.format("w"))
+def valid_windows(spark, sf_dir):
+    return per_doc(fragments.check_length(fragments.valid_tokens(fragments.windows(bases(spark, sf_dir), K), K), K))
+
+
+@query(KMERS + f""", d AS (SELECT DISTINCT {sql.canonical('token')} AS token FROM w), {sql.murmur_x86('h', 'd', 'token', K, 0, 'token')}
+SELECT token FROM h WHERE (h1::UHUGEINT + h2::UHUGEINT * 4294967296::UHUGEINT) % 10::UHUGEINT = 0""")
+def canonical_sample(spark, sf_dir):
+    return fragments.pipeline(bases(spark, sf_dir), K, canonical=True, rate=10)
+
+
+@query(KMERS + f""", d AS (SELECT DISTINCT token FROM w), x AS (SELECT token, min(substr(token, i, {M})) AS minimizer FROM d, range(1, {K - M + 2}) AS r(i) GROUP BY token)
+SELECT token, minimizer, substr(token, 1, strpos(token, minimizer) - 1) || '|' || substr(token, strpos(token, minimizer) + {M}) AS rest FROM x""")
+def minimizer_and_rest(spark, sf_dir):
+    tokens = sets.spelled(sets.token_set(packed(spark, sf_dir)), K)
+    return tokens.select("token", dna.minimizer_and_rest(F.col("token"), M, dna.code).alias("x")).select("token", "x.*")
+
+
+@query(KMERS + f"SELECT count(DISTINCT token) AS n, round(count(DISTINCT token) / ({(K - Z + 1) / 2} * 10), 6) AS planned FROM w")
+def sampled_plan(spark, sf_dir):
+    counted = sets.token_set(packed(spark, sf_dir)).agg(F.count("*").alias("n"))
+    return counted.select("n", F.round(sampled_size(F.col("n"), K, Z, 10), 6).alias("planned"))
+
+
+@query(f"SELECT c_custkey, translate(c_mktsegment, '{dna.AMBIGUOUS}', '{dna.FOLDED}') AS folded, translate(upper(c_mktsegment), 'U', 'T') AS upper_bases, CASE WHEN v >= 1000 THEN printf('%.1fK', v / 1000.0) ELSE printf('%.1f', v::DOUBLE) END AS short, CASE WHEN c_custkey > 10000 THEN 3 WHEN c_custkey > 10 THEN 2 WHEN c_custkey > 0 THEN 1 ELSE 0 END AS magnitude, TRY_CAST(c_mktsegment AS DOUBLE) AS number FROM (SELECT *, c_custkey % 9000 * 100 AS v FROM customer)")
+def formats(spark, sf_dir):
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", dna.fold_ambiguous(segment).alias("folded"), dna.upper_bases(segment).alias("upper_bases"), dna.human_number(key % 9000 * 100).alias("short"), dna.time_magnitude(key * 100_000).alias("magnitude"), dna.number(segment).alias("number"))
+
+
+@query("SELECT l_returnflag, round(sum(round(abs(l_tax - l_discount), 3))::DOUBLE, 3) AS errors FROM lineitem GROUP BY l_returnflag")
+def result_errors(spark, sf_dir):
+    found = reports.errors(table(spark, sf_dir, "lineitem"), "l_discount", ["l_tax"])
+    return found.groupBy("l_returnflag").agg(F.sum("l_tax_error").alias("errors")).withColumn("errors", F.round("errors", 3))
+
+
+@query("""SELECT l_returnflag, round(avg(l_discount), 9) AS l_discount_mean, round(avg(l_tax), 9) AS l_tax_mean, round(avg((l_tax - l_discount) * (l_tax - l_discount)), 9) AS l_tax_mse,
+ round(var_pop(l_tax - l_discount), 9) AS l_tax_var FROM lineitem GROUP BY l_returnflag""")
+def result_trials(spark, sf_dir):
+    found = reports.trial_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", ["l_tax"])
+    return found.select("l_returnflag", *(F.round(c, 9).alias(c) for c in found.columns if c != "l_returnflag"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def result_stack_complete(spark, sf_dir):
+    """Orders, which have no segment, are below customers and fall out as incomplete."""
+    both = reports.stack(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
+    return reports.complete(both).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '/x/' || doc_id || '.fa.gz' AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def files_in_list(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".fa.gz")).alias("path"))
+    return reports.in_list(files, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name")))
+
+
+@query("SELECT least(100, count(*)) AS n_queries, count(*) - least(100, count(*)) AS n_references FROM customer")
+def query_split(spark, sf_dir):
+    found = sets.query_split(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name", k=100)
+    return found.agg(F.count_if("is_query").alias("n_queries"), F.count_if("is_reference").alias("n_references"))
