@@ -1,7 +1,7 @@
 """Reconciling two collections of sequences: which members of either side the other lacks.
 
 Every member gets a bottom-s sketch. Within a side, members with the sketch of another are duplicates; across, those with a common
-sketch are in both. What is left is told from a difference of two small invertible tables over sketch digests, as two parties
+sketch are in both. A sketch is a sample, so members that differ little may share one; where their contents are given, these must agree too. What is left is told from a difference of two small invertible tables over sketch digests, as two parties
 would that exchange nothing else.
 """
 
@@ -23,10 +23,15 @@ from setweave.operators.minhash import sketch
 DIGEST_LENGTH = 31
 
 
-def digests(sketches: DataFrame, side: str, name: str) -> DataFrame:
-    """(side, name, key): one packed key for each member's whole sketch."""
+def digests(sketches: DataFrame, side: str, name: str, contents: DataFrame | None = None) -> DataFrame:
+    """(side, name, key): one packed key for each member's whole sketch, and for its ``contents`` (side, name, content) where these are given."""
     whole = sketches.groupBy(side, name).agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("s"))
-    return whole.select(side, name, F.shiftleft(F.xxhash64(F.transform("s", lambda x: F.hex(x["h"]))).bitwiseAND(F.lit((1 << 62) - 1)), 2).alias("key"))
+    told = [F.transform("s", lambda x: F.hex(x["h"]))]
+    if contents is not None:
+        own = contents.groupBy(F.col(side).alias("__side"), F.col(name).alias("__name")).agg(F.array_sort(F.collect_list(F.sha2("content", 256))).alias("__own"))
+        whole = whole.join(own, F.col(side).eqNullSafe(F.col("__side")) & F.col(name).eqNullSafe(F.col("__name")), "left")
+        told.append(F.col("__own"))
+    return whole.select(side, name, F.shiftleft(F.xxhash64(*told).bitwiseAND(F.lit((1 << 62) - 1)), 2).alias("key"))
 
 
 def duplicates(keys: DataFrame, side: str, name: str) -> DataFrame:
@@ -35,12 +40,12 @@ def duplicates(keys: DataFrame, side: str, name: str) -> DataFrame:
     return keys.withColumn("is_duplicate", F.col(name) != first)
 
 
-def reconcile(tokens: DataFrame, n: int, *, side: str = "side", name: str = "name", s: int = 1000, width: int = 8, seed: int = 42, r: int = 3, epsilon: float = 0.0) -> DataFrame:
+def reconcile(tokens: DataFrame, n: int, *, side: str = "side", name: str = "name", s: int = 1000, width: int = 8, seed: int = 42, r: int = 3, epsilon: float = 0.0, contents: DataFrame | None = None) -> DataFrame:
     """(side, name, status) of the members of sides i and j: duplicate, common, or only (found in the difference of the tables).
 
-    Fails if the difference can't be listed, or lists other members than the exact comparison does.
+    With ``contents`` (side, name, content), members are alike only if their whole contents are equal too; without, equal sketches are enough. Fails if the difference can't be listed, or lists other members than the exact comparison does.
     """
-    keys = checkpointed(duplicates(digests(sketch(tokens, s, width, seed, (side, name)), side, name), side, name))
+    keys = checkpointed(duplicates(digests(sketch(tokens, s, width, seed, (side, name)), side, name, contents), side, name))
     spec = IbltSpec(DIGEST_LENGTH, n, r, epsilon, seed)
     unique = keys.filter("not is_duplicate").select("key", F.when(F.col(side) == "i", F.lit(1)).otherwise(F.lit(-1)).cast("long").alias("counter"))
     rows = unique.select("key", "counter", F.explode(addresses_of(key_of(spec), spec)).alias("a")).select("key", "counter", "a.row", "a.col")

@@ -29,9 +29,9 @@ def spark_rows(df):
     return sorted(df.columns), rows_of(df.columns, [tuple(r) for r in df.collect()])
 
 
-def duck_rows(sql, folder):
+def duck_rows(sql, folder, tables=TABLES):
     with duckdb.connect() as db:
-        for t in TABLES:
+        for t in tables:
             path = f"{folder}/{t}.parquet"
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
         found = db.execute(sql)

@@ -1,5 +1,6 @@
 """Every query of the catalogue against its SQL, on the smallest tables given."""
 
+import numpy as np
 import pytest
 
 from setweave.plans import catalog
@@ -23,6 +24,17 @@ def test_has_rows(spark, folder, name):
     assert catalog.QUERIES[name](spark, folder).count() > 0
 
 
+def test_members_of_one_sketch_are_told_apart(spark, tmp_path):
+    """Long documents that differ in a word, or after the last k-mer, have the same k-mers among the smallest hashes."""
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (4000, 6)).tolist()]
+    texts = [" ".join(words), *(" ".join([*words[:n], "changed", *words[n + 1 :]]) for n in (3000, 3500, 3998)), " ".join([*words, ". no"]), " ".join([*words, ". to"]), " ".join(words)]
+    spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    found = spark_rows(catalog.QUERIES["collection_reconcile"](spark, str(tmp_path)))
+    assert found == duck_rows(catalog.ORACLES["collection_reconcile"], str(tmp_path), ("documents", "labels"))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
