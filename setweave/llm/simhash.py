@@ -201,10 +201,14 @@ def links(members: DataFrame, tau: int = 3, segments: int = 8, bins: str | None
     ``test`` on ``extra`` columns. Fingerprints, or ids, need not be unique.
     """
     ring = Ring(tau, segments)
+    return links_of(keyed(members, ring, bins, extra), ring, extra, test, hot)
+
+
+def keyed(members: DataFrame, ring: Ring, bins: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, extra..., start, bucket): the rows under the keys at which fingerprints that the ring links meet."""
     variants = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("same")) for v, (s, m) in enumerate(ring.variants)))
     rows = members.select("id", "fp", *extra, *([F.explode(bins).alias("bin")] if bins else [F.lit(0).alias("bin")])).select("*", F.explode(variants).alias("x"))
-    rows = rows.select("id", "fp", *extra, F.col("x.start").alias("start"), F.xxhash64("x.v", "bin", "x.same").alias("bucket"))
-    return links_of(rows, ring, extra, test, hot)
+    return rows.select("id", "fp", *extra, F.col("x.start").alias("start"), F.xxhash64("x.v", "bin", "x.same").alias("bucket"))
 
 
 def links_of(rows: DataFrame, ring: Ring, extra: tuple[str, ...] = (), test=None, hot: int = HOT) -> DataFrame:
@@ -271,22 +275,23 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Of (id, text): (id, keys, hashes), the band keys and the set of 32-bit hashes of the shingles, ascending; without texts that have no word."""
+    """Of (id, text): (id, fp, keys, hashes), the fingerprint, the band keys and the set of 32-bit hashes of the shingles, ascending; without texts that have no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            keys, sets, some = [], [], []
+            prints, keys, sets, some = [], [], [], []
             for k, x in enumerate(texts(b.column("text")).cast(pa.binary()).to_pylist()):
                 s = shingle_hashes(x, width)
                 if len(s):
                     some.append(k)
+                    prints.append(majority(shingle_hashes(x, 3))[0])
                     sets.append(np.unique(s.astype(np.uint32)).tobytes())
                     keys.append(least_hashes(mix(s)).view(np.int64))
             at = pa.array(np.arange(len(some) + 1) * BANDS, pa.int32())
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some, pa.int64())), pa.ListArray.from_arrays(at, flat), pa.array(sets, pa.binary())], names=["id", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some, pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(at, flat), pa.array(sets, pa.binary())], names=["id", "fp", "keys", "hashes"])
 
-    return docs.mapInArrow(run, "id long, keys array<bigint>, hashes binary")
+    return docs.mapInArrow(run, "id long, fp long, keys array<bigint>, hashes binary")
 
 
 def alike(similarity: float):
@@ -313,8 +318,10 @@ def alike(similarity: float):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those that a link of at least this similarity leads to from a smaller row.
 
-    Least hashes over shingles of ``width`` words make keys under which candidates meet; the sets of shingles, by 32-bit hashes, decide. Sets travel only to keys that several
-    different sets have. Of each group the row with the smallest id stays; a null id counts as the largest. Texts without a word are left alone.
+    Candidates are fingerprints at 3 or fewer differing bits, found by chains of the ring, and rows with a common key of least hashes over shingles of ``width`` words, which
+    also find the many pairs of that similarity whose fingerprints differ more; the sets of shingles, by 32-bit hashes, decide. Sets travel only to keys that several
+    different sets have, and to keys of fingerprints only where the least hashes left several groups. Of each group the row with the smallest id stays; a null id counts as
+    the largest. Texts without a word are left alone.
     """
     rows = save(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("rid")), "near-rows")
     sets = save(_sets(rows.select(F.col("rid").alias("id"), F.col(f"doc.{text_col}").cast("string").alias("text")), width).withColumn("digest", F.xxhash64("hashes")), "near-sets")
@@ -326,7 +333,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     met = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket", "left_semi")
     members = save(met.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(sets.select("id", "hashes"), "id"), "near-members")
     candidates = members.select("id", F.lit(0).cast("long").alias("fp"), "hashes", F.lit(0).alias("start"), F.explode("buckets").alias("bucket"))
-    found = components(links_of(candidates, Ring(0, 1), ("hashes",), alike(similarity)).union(same))
+    first_links = save(links_of(candidates, Ring(0, 1), ("hashes",), alike(similarity)), "near-links")
+    by_keys = components(first_links.union(same))
+    ring = Ring(3, 8)
+    grouped = own.select("id", "fp").join(by_keys, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "id").alias("root"))
+    prints = save(keyed(grouped, ring, extra=("root",)), "near-prints")
+    apart = prints.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    printed = prints.join(apart, "bucket", "left_semi").drop("root").join(sets.select("id", "hashes"), "id")
+    found = components(links_of(save(printed, "near-printed"), ring, ("hashes",), alike(similarity)).union(by_keys.select("node", "root")))
     keys = rows.select("rid", F.col(f"doc.{id_col}").alias("id"))
     grouped = found.join(keys, found.node == keys.rid).select("root", "rid", "id").union(found.select(F.col("root").alias("r")).distinct().join(keys, F.col("r") == keys.rid).select("r", "rid", "id"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("first"))

@@ -130,6 +130,18 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [10 * d for d in range(12)]
 
 
+def test_near_copies_by_fingerprint_leave_one(spark):
+    """A pair of similarity 0.8 that has no key of least hashes in common, but near fingerprints."""
+    line = [f"l742.{k}" for k in range(16)] * 60
+    texts = [" ".join(x) for x in (line, [*line, *(f"t742.{k}" for k in range(4))], brute.prose(400, 200).split())]
+    sets = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    assert len(set(sets[0].tolist())) == 16 and len(set(sets[1].tolist())) == 20
+    assert not (simhash.least_hashes(simhash.mix(sets[0])) == simhash.least_hashes(simhash.mix(sets[1]))).any()
+    assert (brute.fingerprint(texts[0]) ^ brute.fingerprint(texts[1])).bit_count() <= 3
+    df = spark.createDataFrame(list(enumerate([*texts, "", " ", None])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, 2, 3, 4, 5]
+
+
 def test_near_copies_with_a_changed_block_leave_one(spark):
     rng = np.random.default_rng(3)
     jaccard = lambda a, b: len(a & b) / len(a | b)
