@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from setweave.functions import dna
 from setweave.functions.planning import IbltSpec
 from setweave.functions.session import checkpointed
-from setweave.operators import fragments, iblt, sets
+from setweave.functions.kernels import minimizer_positions, syncmer_positions
+from setweave.operators import exchange, fragments, iblt, sets
 
 
 def join_results(*tables: DataFrame, on: tuple[str, ...] = ("reference", "query")) -> DataFrame:
@@ -85,7 +86,18 @@ def total_length(df: DataFrame, seq: str = "seq", by: tuple[str, ...] = ()) -> D
 
 
 def similarity_by_method(sides: DataFrame, k: int, z: int, rate: int = 1, seq: str = "seq") -> DataFrame:
-    """(method, jaccard): exact k-mers, sampled k-mers, minimizers and syncmers of two sides (column ``side``)."""
+    """(method, jaccard): exact k-mers, sampled k-mers, minimizers and syncmers of two sides: a column ``side``, or a flag for each in ``in_i`` and ``in_j``.
+
+    Up to 31 bases, all four come from one exchange of packed k-mers; case is folded there, and U counts as T.
+    """
+    if k <= 31 and "in_i" in sides.columns:
+        found = exchange.marks(sides, k, [lambda s: minimizer_positions(s, k, k - z + 1), lambda s: syncmer_positions(s, k, z)], seq)
+        kept = fragments.in_sample(F.col("token"), max(1, rate), bases=k)
+        bits = {"exact": 0, "sampled": 0, "minimizers": 2, "syncmers": 4}
+        has = {name: F.shiftright("mask", bit).bitwiseAND(F.lit(3)) for name, bit in bits.items()} | {"sampled": F.when(F.col("kept"), F.col("mask").bitwiseAND(F.lit(3))).otherwise(0)}
+        sums = found.withColumn("kept", kept).agg(*(F.struct(F.lit(name).alias("method"), F.count_if(h == 3).alias("s"), F.count_if(h != 0).alias("n")).alias(name) for name, h in has.items()))
+        each = sums.select(F.explode(F.array(*has)).alias("x")).select("x.*")
+        return each.select("method", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.col("s") / F.col("n")).alias("jaccard"))
     rows = sides.select("side", seq)
     token_sets = {
         "exact": fragments.kmers(rows, k, seq),
@@ -101,7 +113,15 @@ def similarity_by_method(sides: DataFrame, k: int, z: int, rate: int = 1, seq: s
 
 
 def extended_covers(sides: DataFrame, k: int, z: int, g: int, seq: str = "seq") -> DataFrame:
-    """(missing): k-mers of the exact difference that the difference of extended syncmers does not hold; 0 if it covers all."""
+    """(missing): k-mers of the exact difference that the difference of extended syncmers does not hold; 0 if it covers all.
+
+    Sides are a column ``side``, or a flag for each in ``in_i`` and ``in_j``; with flags, and up to 27 bases in all, both differences come from exchanges of packed tokens,
+    where case is folded, U counts as T, and all else is one letter.
+    """
+    if k + g <= 27 and "in_i" in sides.columns:
+        left = exchange.covered(sides, k, g, lambda s: syncmer_positions(s, k, z), seq)
+        side = F.col("mask").bitwiseAND(F.lit(3))
+        return left.agg(F.count_if(side.isin(1, 2) & (F.shiftright("mask", 2).bitwiseAND(side) == 0)).alias("missing"))
     exact = sets.symmetric_difference(fragments.kmers(sides.select("side", seq), k, seq).select("side", "token").distinct())
     listed = sets.symmetric_difference(fragments.syncmers(sides.select("side", seq), k, z, g, seq=seq).select("side", "token").distinct())
     found = fragments.unpack_extended(listed, k, ["side"])
