@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setweave.functions import dna, hashing, kernels, planning
-from setweave.operators import fragments, iblt, minhash, reconcile, reports, sets, simulate
+from setweave.operators import exchange, fragments, iblt, minhash, reconcile, reports, sets, simulate
 from setweave.sources import readers, writers
 
 
@@ -223,6 +223,31 @@ def test_reconcile(spark, tmp_path):
     assert got == {("i", "a"): "common", ("i", "b"): "only", ("i", "c"): "duplicate", ("j", "d"): "common", ("j", "e"): "only", ("j", "f"): "only"}
 
 
+def test_reconcile_doubles_a_table_that_is_too_small(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(side, f"{side}{i}", random_dna(60, i + 100 * (side == "j" and i % 5 == 0))) for side in "ij" for i in range(40)]
+    df = spark.createDataFrame(rows, "side string, name string, seq string")
+    want = {(side, f"{side}{i}"): "common" if i % 5 else "only" for side in "ij" for i in range(40)}
+    for n in (1, 16):
+        assert {(r["side"], r["name"]): r["status"] for r in reconcile.reconcile(fragments.kmers(df, 15), n).collect()} == want
+
+
+def test_sketches_of_whole_sequences(spark, monkeypatch):
+    """Of the sequence where it is, in stretches, as of its exploded k-mers with their positions; the digest has content and sketch."""
+    monkeypatch.setattr(exchange, "STRETCH", 500)
+    seqs = [random_dna(3000, 1), random_dna(40, 2) + "." + random_dna(40, 3), "ACGT" * 300, random_dna(15, 4), random_dna(14, 5), "", None, random_dna(3000, 1)[:-1] + ".", random_dna(3000, 1)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "name int, seq string")
+    tokens = fragments.kmers(df, 15).select("name", F.concat("token", F.lit("/"), "pos").alias("token"))
+    for s, width in ((50, 8), (2000, 8), (100, 2)):
+        want = {}
+        for r in minhash.sketch(tokens, s, width, by=("name",)).orderBy("name", "rank").collect():
+            want.setdefault(r["name"], []).append(bytes(r["h"]))
+        got = reconcile.least_of_sequences([(x or "").encode() for x in seqs], 15, s, width)
+        assert {i: [int(h).to_bytes(width, "big") for h in x] for i, x in enumerate(got) if len(x)} == want
+    keys = {r["name"]: r["key"] for r in reconcile.sequence_digests(df, 15).collect()}
+    assert set(keys) == {0, 1, 2, 3, 7, 8} and keys[0] == keys[8] and len(set(keys.values())) == 5
+
+
 def test_mutants(spark):
     df = simulate.random_sequences(spark, 20, 5000)
     log = simulate.mutate(df, 0.02, 0.0).collect()
